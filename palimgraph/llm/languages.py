@@ -37,91 +37,129 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of the words with a mark before each and one at the end, and where each word's end."""
+    text = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return text, np.flatnonzero(text == 32)[1:]
+
+
 class Model:
-    """Interpolated character trigrams of some languages."""
+    """Character trigrams of some languages, interpolated with bigrams and
+    single characters; a character in 21 bits of an n-gram's code."""
 
     def __init__(self, texts: dict[str, list[str]], weight: float = 4.0):
         self.languages = sorted(texts)
-        self.n = len(self.languages)
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(self.n)) for _ in range(3)]
+        self.n, self.weight = len(self.languages), weight
+        seen: list[dict[int, np.ndarray]] = [{} for _ in range(3)]
         for j, lang in enumerate(self.languages):
             words = Counter(w for t in texts[lang] for w in _WORD.findall(t.lower()))
-            for word, times in words.items():
-                w = f"  {word} "
-                for i in range(2, len(w)):
-                    for k in range(3):
-                        grams[k][w[i - k : i + 1]][j] += times
-        one, two, three = grams
-        symbols = len(one) + 1
-        total = sum(one.values(), np.zeros(self.n))
+            one, two, three, ends = self._grams(list(words))
+            times = np.repeat(np.array(list(words.values()), float), np.diff(np.r_[0, ends]))
+            for k, g in enumerate((one, two, three)):
+                values, inverse = np.unique(g, return_inverse=True)
+                for v, c in zip(values.tolist(), np.bincount(inverse, times)):
+                    seen[k].setdefault(v, np.zeros(self.n))[j] += c
+        tables = [(np.array(sorted(t), np.int64), np.array([t[v] for v in sorted(t)]).reshape(-1, self.n)) for t in seen]
+        (g1, c1), (g2, c2), (g3, c3) = tables
+        symbols, total = len(g1) + 1, c1.sum(axis=0)
         self.floor = -math.log(2.0 * symbols)  # of a character under 'und'
-        base = (np.ones(self.n)) / (total + symbols)
-        self.one = {g: (c + 1) / (total + symbols) for g, c in one.items()}
-        self.unseen = base
-        starts2: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(self.n))
-        starts3: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(self.n))
-        for g, c in two.items():
-            starts2[g[0]] += c
-        for g, c in three.items():
-            starts3[g[:2]] += c
-        self.two = {g: (c + weight * self.one[g[1]]) / (starts2[g[0]] + weight) for g, c in two.items()}
-        self.three = {g: np.log((c + weight * self.two[g[1:]]) / (starts3[g[:2]] + weight)) for g, c in three.items()}
-        self.starts2, self.starts3, self.weight = dict(starts2), dict(starts3), weight
-        self.none = np.zeros(self.n)
-
-    def _gram(self, g: str) -> np.ndarray:
-        found = self.three.get(g)
-        if found is None:
-            p1 = self.one.get(g[2], self.unseen)
-            p2 = self.two.get(g[1:])
-            if p2 is None:
-                p2 = self.weight * p1 / (self.starts2.get(g[1], self.none) + self.weight)
-            found = np.log(self.weight * p2 / (self.starts3.get(g[:2], self.none) + self.weight))
-        return found
-
-    def word(self, word: str) -> np.ndarray:
-        """Log-likelihoods in each language, and under 'und' last."""
-        w = f"  {word} "
-        out = np.empty(self.n + 1)
-        out[:-1] = sum(self._gram(w[i - 2 : i + 1]) for i in range(2, len(w)))
-        out[-1] = self.floor * (len(word) + 1)
+        self.unseen = np.ones((1, self.n)) / (total + symbols)
+        self.one = g1, (c1 + 1) / (total + symbols)
+        self.starts = self._starts(g2 >> 21, c2), self._starts(g3 >> 21, c3)
+        self.two = g2, (c2 + weight * self._p1(g2 & _CHAR)) / (self._find(self.starts[0], g2 >> 21, 0.0) + weight)
+        self.three = g3, (c3 + weight * self._p2(g3 & _PAIR)) / (self._find(self.starts[1], g3 >> 21, 0.0) + weight)
+
+    @staticmethod
+    def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        text, ends = _padded(words)
+        one = text[1:]
+        two = text[:-1] << 21 | one
+        before = np.r_[32, text[:-2]]
+        before[ends[:-1]] = 32  # nothing of the word before
+        return one, two, before << 42 | two, ends
+
+    @staticmethod
+    def _starts(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values, at = np.unique(context, return_index=True)
+        return values, np.add.reduceat(counts, at, axis=0) if len(at) else counts
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray], code: np.ndarray, other) -> np.ndarray:
+        known, values = table
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        return np.where((known[at] == code)[:, None], values[at], other)
+
+    def _p1(self, code: np.ndarray) -> np.ndarray:
+        return self._find(self.one, code, self.unseen)
+
+    def _p2(self, code: np.ndarray) -> np.ndarray:
+        rest = self.weight * self._p1(code & _CHAR) / (self._find(self.starts[0], code >> 21, 0.0) + self.weight)
+        return self._find(self.two, code, rest)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Relative likelihoods of each word in each language, and under 'und' last: the largest is 1."""
+        _, _, grams, ends = self._grams(words)
+        used, inverse = np.unique(grams, return_inverse=True)
+        rest = self.weight * self._p2(used & _PAIR) / (self._find(self.starts[1], used >> 21, 0.0) + self.weight)
+        logs = np.log(self._find(self.three, used, rest))[inverse]
+        starts = np.r_[0, ends[:-1]]
+        out = np.c_[np.add.reduceat(logs, starts, axis=0), self.floor * np.diff(np.r_[0, ends])]
+        return np.exp(np.maximum(out - out.max(axis=1, keepdims=True), -80)).astype(np.float32)
+
+
+_CHAR, _PAIR = (1 << 21) - 1, (1 << 42) - 1
+
+
+def _expect(p: np.ndarray, times: np.ndarray, share: np.ndarray, sizes: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """EM rounds on the shares of each document (languages x documents); log-likelihoods under the last ones.
+
+    p: of different words (languages x words), which occur so many times; sizes: different words of each document."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    total = np.add.reduceat(times, starts)
+    used = [j for j in range(len(p)) if share[j].any()]
+    share = share.astype(np.float32)
+
+    def mixed() -> np.ndarray:
+        out = np.full(p.shape[1], 1e-38, np.float32)
+        for j in used:
+            out += p[j] * share[j][doc]
         return out
 
-
-def _expect(p: np.ndarray, share: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM rounds on the shares of each document (rows of share); log-likelihoods under the last ones."""
     for _ in range(rounds):
-        r = p * np.repeat(share, sizes, axis=0)
-        r /= r.sum(axis=1, keepdims=True) + 1e-300
-        share = np.add.reduceat(r, starts, axis=0) / sizes[:, None]
-    mixed = (p * np.repeat(share, sizes, axis=0)).sum(axis=1)
-    return share, np.add.reduceat(np.log(mixed + 1e-300), starts)
-
-
-def infer(likelihoods: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> np.ndarray:
-    """Word log-likelihoods (words x languages), of documents of so many words
-    each -> shares of the languages in each document, 0 where not selected."""
-    p = np.exp(likelihoods - likelihoods.max(axis=1, keepdims=True))
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    n = p.shape[1]
-    share, best = _expect(p, np.full((len(sizes), n), 1 / n), starts, sizes, rounds)
-    active = np.arange(len(sizes))
-    gain = penalty * 0.5 * np.log(sizes + 1.0)
+        weight = times / mixed()
+        share = share.copy()
+        for j in used:
+            share[j] *= np.add.reduceat(p[j] * weight, starts) / total
+    return share, np.add.reduceat(times * np.log(mixed()), starts)
+
+
+def infer(p: np.ndarray, times: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> np.ndarray:
+    """Shares of the languages in each document (documents x languages), 0 where not selected; arguments as in _expect.
+
+    The language of the least share is dropped while that loses less likelihood than the penalty of a language."""
+    n, (starts, docs) = len(p), (np.r_[0, np.cumsum(sizes)[:-1]], np.arange(len(sizes)))
+    share, best = _expect(p, times, np.full((n, len(sizes)), 1 / n), sizes, rounds)
+    gain = penalty * 0.5 * np.log(np.add.reduceat(times, starts) + 1.0)
+    top = share.argmax(axis=0)
+    alone = np.add.reduceat(times * np.log(np.maximum(p[np.repeat(top, sizes), np.arange(p.shape[1])], 1e-38)), starts)
+    # If all the others together lose less than one penalty, no order of dropping them stops.
+    single = alone + gain >= best
+    share[:, single] = 0
+    share[top[single], docs[single]] = 1
+    active = docs[~single]
     while len(active):
-        active = active[(share[active] > 0).sum(axis=1) > 1]
-        if not len(active):
-            break
-        trial = share[active]
-        least = np.where(trial > 0, trial, np.inf).argmin(axis=1)
-        trial[np.arange(len(active)), least] = 0
-        trial /= trial.sum(axis=1, keepdims=True)
+        trial = share[:, active]
+        least = np.where(trial > 0, trial, np.inf).argmin(axis=0)
+        trial[least, np.arange(len(active))] = 0
+        trial /= trial.sum(axis=0)
         words = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in active])
-        size = sizes[active]
-        trial, ll = _expect(p[words], trial, np.r_[0, np.cumsum(size)[:-1]], size, 3)
+        trial, ll = _expect(p[:, words], times[words], trial, sizes[active], 3)
         better = ll + gain[active] >= best[active]
-        active, trial, ll = active[better], trial[better], ll[better]
-        share[active], best[active] = trial, ll
-    return share
+        active, trial, ll = active[better], trial[:, better], ll[better]
+        share[:, active], best[active] = trial, ll
+        active = active[(trial > 0).sum(axis=0) > 1]
+    return share.T.astype(np.float64)
 
 
 def fit(docs: DataFrame, *, sample: int = SAMPLE) -> Model | None:
@@ -147,36 +185,42 @@ def keep_known(docs: DataFrame, *, sample: int = SAMPLE, penalty: float = PENALT
     return _filter(docs, fit(docs, sample=sample), penalty)
 
 
-def _shares(texts: list[str | None], model: Model, memo: dict[str, int], rows: list[np.ndarray], penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    index, sizes = [], np.zeros(len(texts), np.int64)
+def _shares(texts: list[str | None], model: Model, memo: dict[str, int], known: list[np.ndarray], penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the languages in each text, and how many words it has.  memo: where a word's likelihoods are in known[0]."""
+    index, times, sizes, totals, new = [], [], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
     for i, t in enumerate(texts):
-        words = _WORD.findall((t or "").lower())
-        sizes[i] = len(words)
-        for w in words:
-            if w not in memo:
-                memo[w] = len(rows)
-                rows.append(model.word(w))
-        index += [memo[w] for w in words]
-    shares = np.zeros((len(texts), model.n + 1))
-    full = sizes > 0
+        bag = Counter(_WORD.findall((t or "").lower()))
+        sizes[i], totals[i] = len(bag), bag.total()
+        for w in bag:
+            at = memo.get(w)
+            if at is None:
+                at = memo[w] = len(memo)
+                new.append(w)
+            index.append(at)
+        times += bag.values()
+    if new:
+        fresh = len(memo)
+        if fresh > len(known[0]):
+            known[0] = np.r_[known[0], np.empty((max(fresh, len(known[0])), model.n + 1), np.float32)]
+        known[0][fresh - len(new) : fresh] = model.words(new)
+    shares, full = np.zeros((len(texts), model.n + 1)), sizes > 0
     if full.any():
-        used, inverse = np.unique(np.array(index), return_inverse=True)
-        shares[full] = infer(np.array([rows[i] for i in used])[inverse], sizes[full], penalty)
-    return shares, sizes
+        p = np.ascontiguousarray(known[0][np.array(index)].T)
+        shares[full] = infer(p, np.array(times, np.float32), sizes[full], penalty)
+    return shares, totals
 
 
 def _over(model: Model | None, penalty: float):
     """A function from texts to shares and word counts, with a memory of words that is emptied at a bound."""
     memo: dict[str, int] = {}
-    rows: list[np.ndarray] = []
+    known = [np.zeros((0, model.n + 1 if model else 1), np.float32)]
 
     def run(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if model is None:
             return np.ones((len(texts), 1)), np.array([len(_WORD.findall((t or "").lower())) for t in texts])
-        if len(rows) > 400_000:
+        if len(memo) > 500_000:
             memo.clear()
-            rows.clear()
-        return _shares(texts, model, memo, rows, penalty)
+        return _shares(texts, model, memo, known, penalty)
 
     return run
 

@@ -1,7 +1,7 @@
 """Toxicity: a logistic classifier with counterfactual regularisation.
 
-Features are words and word beginnings that occur at least once, twice or four
-times in a text; those that go with the toxic label are selected by their
+Features are words and word beginnings that occur at least once, twice, three or
+five times in a text; those that go with the toxic label are selected by their
 log-odds.  In labelled sentences that hold an identity term the term is
 swapped for others (where no sentence holds one, terms are inserted), and the
 squared change of the score is penalised, so that a neutral mention of a group
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, MAX_FEATURES, LEAST_Z, LEVELS, PREFIXES = 6000, 1024, 3.5, (1, 2, 4), (4, 5, 6, 7, 8)
-RIDGE, SWAP_WEIGHT, THRESHOLD = 1.0, 10.0, 0.5
+SAMPLE, MAX_FEATURES, LEAST_Z, LEVELS, PREFIXES = 6000, 1024, 3.5, (1, 2, 3, 5), (4, 5, 6, 7, 8)
+RIDGE, SWAP_WEIGHT, THRESHOLD = 0.1, 10.0, 0.3
 IDENTITY_TERMS = tuple(
     "women men woman man black white asian african european american muslim christian jewish hindu buddhist atheist gay lesbian bisexual transgender straight disabled blind deaf elderly young immigrant refugee".split()
     + "frauen männer muslime christen juden schwule einwanderer femmes hommes musulmans chrétiens juifs immigrés mujeres hombres musulmanes cristianos judíos inmigrantes".split()
@@ -84,39 +84,50 @@ class Classifier:
         return float(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
 
 
-def _counts(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for w, n in Counter(_WORD.findall((text or "").lower())).items():
-        for g in _grams(w):
-            out[g] += n
+def _bags(texts: Iterable[str | None], known: dict[str, int]) -> list[dict[int, int]]:
+    """How often each known word or beginning occurs in each text."""
+    memo: dict[str, tuple[int, ...]] = {}
+    out = []
+    for text in texts:
+        bag: dict[int, int] = {}
+        for w, n in Counter(_WORD.findall((text or "").lower())).items():
+            hits = memo.get(w)
+            if hits is None:
+                hits = memo[w] = tuple(known[g] for g in _grams(w) if g in known)
+            for h in hits:
+                bag[h] = bag.get(h, 0) + n
+        out.append(bag)
     return out
 
 
-def _select(bags: list[Counter], toxic: np.ndarray, terms: Iterable[str]) -> list[tuple[str, int]]:
+def _select(texts: list[str | None], toxic: np.ndarray, terms: Iterable[str]) -> list[tuple[str, int]]:
     """Features whose presence goes with the label; of features in just the
     same documents the most specific stays; identity terms are always in."""
-    docs: dict[tuple[str, int], list[int]] = defaultdict(list)
-    for i, bag in enumerate(bags):
-        for g, n in bag.items():
+    often: Counter = Counter()  # only what several toxic documents hold can be selected
+    for t, y in zip(texts, toxic):
+        if y:
+            often.update({g for w in set(_WORD.findall((t or "").lower())) for g in _grams(w)})
+    grams = [g for g, n in often.items() if n >= 4]
+    docs: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for i, bag in enumerate(_bags(texts, {g: j for j, g in enumerate(grams)})):
+        for j, n in bag.items():
             for level in LEVELS:
                 if n >= level:
-                    docs[g, level].append(i)
+                    docs[j, level].append(i)
     n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
-    best: dict[tuple, tuple[float, str, int]] = {}
-    for (g, level), at in docs.items():
-        if len(at) < 5:
-            continue
+    best: dict[bytes, tuple] = {}
+    for (j, level), at in docs.items():
         a = toxic[at].sum()
         b = len(at) - a
         odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
         z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
         if z >= LEAST_Z:
-            key = tuple(at)
-            rank = (g[0] == "=", len(g), -level)
+            key, rank = np.array(at).tobytes(), (grams[j][0] == "=", len(grams[j]), -level)
             if key not in best or rank > best[key][1]:
-                best[key] = (float(z), rank, (g, level))
+                best[key] = (float(z), rank, (grams[j], level))
     chosen = [f for _, _, f in sorted(best.values(), key=lambda x: (-x[0], x[2]))[:MAX_FEATURES]]
-    return chosen + [("=" + t, 1) for t in terms if ("=" + t, 1) not in set(chosen)]
+    held = set(chosen)
+    return chosen + [("=" + t, 1) for t in terms if ("=" + t, 1) not in held]
 
 
 def swaps(texts: Iterable[str], terms: tuple[str, ...], most: int = 4000) -> Iterator[tuple[str, str]]:
@@ -150,21 +161,26 @@ def train(texts: list[str | None], labels: list[int], *, terms: tuple[str, ...]
     toxic = np.array(labels, float)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
-    bags = [_counts(t) for t in texts]
-    features = _select(bags, toxic, terms)
-    x = np.ones((len(bags), len(features) + 1), np.float32)
-
-    def row(bag: Counter) -> list[bool]:
-        return [bag[g] >= level for g, level in features]
-
-    for i, bag in enumerate(bags):
-        x[i, :-1] = row(bag)
-    pairs = np.array([np.subtract(row(_counts(b)), row(_counts(a)), dtype=np.float32) for a, b in swaps(texts, terms)], np.float32).reshape(-1, len(features))
+    features = _select(texts, toxic, terms)
+    names = {g: j for j, g in enumerate(sorted({g for g, _ in features}))}
+    column, least = np.array([names[g] for g, _ in features]), np.array([level for _, level in features])
+
+    def matrix(texts: Iterable[str | None]) -> np.ndarray:
+        bags = _bags(texts, names)
+        counts = np.zeros((len(bags), len(names)), np.int32)
+        for i, bag in enumerate(bags):
+            for j, n in bag.items():
+                counts[i, j] = n
+        return (counts[:, column] >= least).astype(np.float32)
+
+    x = np.c_[matrix(texts), np.ones(len(texts), np.float32)]
+    before, after = zip(*found) if (found := list(swaps(texts, terms))) else ((), ())
+    pairs = matrix(after) - matrix(before)
     ridge = np.full(len(features) + 1, RIDGE, np.float32)
     ridge[-1] = 1e-3
     extra = np.diag(ridge)
     if len(pairs) and swap_weight:
-        extra[:-1, :-1] += swap_weight * len(bags) / len(pairs) * (pairs.T @ pairs)
+        extra[:-1, :-1] += swap_weight * len(texts) / len(pairs) * (pairs.T @ pairs)
     w = np.zeros(len(features) + 1, np.float32)
     for _ in range(12):  # Newton
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
