@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def _blocks(start: str, end: str, levels: int) -> str:
-    low, high = f"(({start} + shiftleft(1L, k) - 1) >> k)", f"({end} >> k)"
+    low, high = f"shiftright({start} + shiftleft(1L, k) - 1, k)", f"shiftright({end}, k)"
     at = f"array_distinct(concat(if({low} % 2 = 1, array({low}), array()), if({high} % 2 = 1, array({high} - 1), array())))"
     return f"flatten(transform(sequence(0, {levels}), k -> if({low} < {high}, transform({at}, b -> struct(k as level, b as block)), array())))"
 
@@ -27,5 +27,5 @@ def contains(points: DataFrame, intervals: DataFrame, point: str, start: str = "
     cut_ = intervals.where(f"{start} <= {top}").withColumn("at", F.explode(F.expr(_blocks(f"greatest({start}, 0L)", f"least({end}, {top + 1}L)", levels))))
     cut_ = cut_.withColumn("_level", F.col("at.level")).withColumn("_block", F.col("at.block")).drop("at")
     asked = points.where(f"{point} between 0 and {top}").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    asked = asked.withColumn("_block", F.expr(f"{point} >> _level"))
+    asked = asked.withColumn("_block", F.expr(f"shiftright({point}, _level)"))
     return asked.join(cut_, ["_level", "_block"]).drop("_level", "_block")
