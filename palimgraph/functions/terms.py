@@ -197,5 +197,5 @@ def snapshot_revision(t: Column) -> Column:
 def order_keys(t: Column, descending: bool = False) -> list[Column]:
     """Sort columns for the order unbound, blank nodes, IRIs, literals."""
     rank = F.when(t.isNull(), 0).when(is_blank(t), 1).when(is_iri(t), 2).otherwise(3)
-    keys = [rank, number(t), date_key(t), F.coalesce(text_of(t), t)]
+    keys = [rank, number(t), date_key(t), F.coalesce(text_of(t), t), t]
     return [k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys]

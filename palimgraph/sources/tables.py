@@ -18,9 +18,9 @@ def read_revisions(spark: SparkSession, path: str) -> DataFrame:
     read) comment.  A parent under 0 is none; lines without a number are left out."""
     fields = F.split(F.col("value"), "\t", -1)
     line = spark.read.text(path).select(fields.alias("f")).where(F.size("f") >= 5)
-    number = lambda i: F.col("f")[i].try_cast("bigint")
-    topic = F.when(F.col("f")[2].startswith("<"), F.col("f")[2]).otherwise(T.iri_column(PREFIXES["wd"], F.col("f")[2]))
-    rows = line.select(number(0).alias("revision_id"), F.when(number(1) >= 0, number(1)).alias("parent_id"), topic.alias("topic"), number(3).alias("ts_sec"), F.col("f")[4].alias("contributor"), F.lit(None).cast("string").alias("comment"))
+    number = lambda i: F.get("f", F.lit(i)).try_cast("bigint")
+    topic = F.when(F.get("f", F.lit(2)).startswith("<"), F.get("f", F.lit(2))).otherwise(T.iri_column(PREFIXES["wd"], F.get("f", F.lit(2))))
+    rows = line.select(number(0).alias("revision_id"), F.when(number(1) >= 0, number(1)).alias("parent_id"), topic.alias("topic"), number(3).alias("ts_sec"), F.get("f", F.lit(4)).alias("contributor"), F.lit(None).cast("string").alias("comment"))
     return rows.where("revision_id is not null")
 
 
@@ -31,7 +31,7 @@ def read_triples(spark: SparkSession, path: str, *, direct_only: bool = False, m
     claims.  merge: ranges of a triple that occurs on several lines are united."""
     fields = F.split(F.col("value"), "\t", -1)
     line = spark.read.text(path).select(fields.alias("f")).where(F.size("f") >= 4)
-    line = line.select(F.col("f")[0].alias("s"), F.col("f")[1].alias("p"), T.canonical_column(F.col("f")[2]).alias("o"), F.transform(F.split(F.trim(F.col("f")[3]), " "), lambda x: x.try_cast("bigint")).alias("ranges"))
+    line = line.select(F.get("f", F.lit(0)).alias("s"), F.get("f", F.lit(1)).alias("p"), T.canonical_column(F.get("f", F.lit(2))).alias("o"), F.transform(F.split(F.trim(F.get("f", F.lit(3))), " "), lambda x: x.try_cast("bigint")).alias("ranges"))
     if direct_only:
         line = line.where(F.col("p").isin(_ALWAYS) | F.col("p").startswith(_DIRECT))
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("ranges") / 2).cast("int") - 1), lambda i: F.struct(F.get("ranges", 2 * i).alias("rev_start"), F.get("ranges", 2 * i + 1).alias("rev_end")))
