@@ -218,7 +218,7 @@ def test_estimate_is_corrected_for_collisions():
         both = rng.integers(0, 1 << 62, n).astype(np.uint64)
         a, b = (np.r_[both, rng.integers(0, 1 << 62, 400 - n).astype(np.uint64)] for _ in range(2))
         mins = textvec.minima(np.r_[a, b], np.array([0, 400, 800]), 1920, 7)
-        packed = textvec.pack_low_bits(mins, 4)
+        packed = textvec.pack_low_bits(mins, 4).view(np.uint64)
         from palimgraph.llm.neargroups import matches, similarity
 
         assert abs(similarity(matches(packed[0], packed[1:2], 4), 1920, 4)[0] - n / (800 - n)) < 0.05
@@ -349,13 +349,13 @@ def test_trees_against_walks(spark):
 
 
 def test_held_out_toxicity(spark):
-    d, labels = read(spark, "/root/testdata/sf0.01", "documents"), read(spark, "/root/testdata/sf0.01", "labels")
+    d, labels = read(spark, "/root/testdata/sf0.1", "documents"), read(spark, "/root/testdata/sf0.1", "labels")
     model = toxicity.fit(d, labels.where("doc_id % 2 = 0"))
     truth = {r.doc_id: r.toxic for r in labels.where("doc_id % 2 = 1").collect()}
     found = {r.doc_id: r.toxic for r in toxicity.scores(d, model).collect() if r.doc_id in truth}
     toxic = [found[i] for i, y in truth.items() if y and i in found]
     clean = [found[i] for i, y in truth.items() if not y and i in found]
-    assert np.mean(toxic) > 0.9 and np.mean(clean) < 0.03
+    assert np.mean(toxic) > 0.9 and np.mean(clean) < 0.01
 
 
 def test_swapped_terms_change_the_score_little():
