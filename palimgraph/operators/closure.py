@@ -1,4 +1,4 @@
-"""Transitive closure by a frontier that goes on while it finds new pairs."""
+"""Transitive closure by stored steps; cycles end."""
 
 from __future__ import annotations
 
@@ -9,15 +9,32 @@ from ..shared import cut
 
 
 def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """(x, y) distinct: y reached from x by one edge or more; cycles end.
+    """(x, y) distinct: y reached from x by one edge or more.
 
-    starts: (x), to follow only from there.  What is known is stored after
-    each step, so a lost executor repeats one step at most."""
+    starts: (x), to follow only from there, a step at a time.  Otherwise each
+    round doubles the length of the paths known, so a chain of n edges takes
+    about log2(n) rounds.  What is known is stored after each step, so a lost
+    executor repeats one step at most."""
     edges = cut(edges.select("x", "y").where("x is not null and y is not null").distinct())
-    frontier = edges if starts is None else edges.join(starts.select("x").distinct(), "x", "left_semi")
-    known = frontier = cut(frontier)
+    if starts is not None:
+        return _from(edges, starts)
+    known = power = edges  # paths of 1 to 2^k - 1 edges, and of just 2^(k - 1)
+    while not power.isEmpty():
+        after = power.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        power = cut(power.join(after, "y").select("x", F.col("z").alias("y")).distinct())
+        step = power.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        more = power.unionByName(known.join(step, "y").select("x", F.col("z").alias("y"))).distinct()
+        fresh = cut(more.join(known, ["x", "y"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        known = known.unionByName(fresh)  # both are stored already
+    return known
+
+
+def _from(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    known = frontier = cut(edges.join(starts.select("x").distinct(), "x", "left_semi"))
     step = edges.select(F.col("x").alias("y"), F.col("y").alias("z"))
     while not frontier.isEmpty():
         frontier = cut(frontier.join(step, "y").select("x", F.col("z").alias("y")).distinct().join(known, ["x", "y"], "left_anti"))
-        known = known.unionByName(frontier)  # each part is stored already
+        known = known.unionByName(frontier)
     return known
