@@ -91,7 +91,7 @@ WITH RECURSIVE r AS (
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS msg_id FROM r),
 p AS (
-  SELECT m.conv_id, m.msg_id, max(x.msg_id) AS parent_id, any_value(least(length(m.text), 2000)::DOUBLE) AS score,
+  SELECT m.conv_id, m.msg_id, max(x.msg_id) AS parent_id, any_value(length(m.text)::DOUBLE) AS score,
          any_value('<|' || m.role || '|>' || chr(10) || replace(m.text, '<|', '< |') || chr(10)) AS body
   FROM m LEFT JOIN m x ON x.conv_id = m.conv_id AND x.msg_id < m.msg_id AND x.role <> m.role
   GROUP BY m.conv_id, m.msg_id),

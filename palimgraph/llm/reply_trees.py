@@ -76,7 +76,7 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     """Messages of a table (conv_id, turn, role, text): a turn replies to the
     latest earlier one of another role, so consecutive turns of one role are
     branches.  Rows that share a turn are alternatives, told apart by role and
-    text.  A message's score is its length in characters, 2000 at most."""
+    text.  A message's score is its length in characters."""
     c = conversations
     rows = c.where(c["conv_id"].isNotNull() & c["turn"].isNotNull()).select(
         c["conv_id"].cast("bigint").alias("conv_id"), c["turn"].alias("turn"), F.coalesce(c["role"], F.lit("unknown")).alias("role"), F.coalesce(c["text"], F.lit("")).alias("text")
@@ -86,4 +86,4 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     before = F.lag("role").over(order)
     opens = F.when(before.isNull() | (before != F.col("role")), F.col("msg_id") - 1)
     parent = F.last(opens, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    return rows.select("conv_id", "msg_id", F.nullif(parent, F.lit(0)).alias("parent_id"), "role", "text", F.least(F.length("text"), F.lit(2000)).cast("double").alias("score"))
+    return rows.select("conv_id", "msg_id", F.nullif(parent, F.lit(0)).alias("parent_id"), "role", "text", F.length("text").cast("double").alias("score"))
