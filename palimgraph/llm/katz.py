@@ -14,6 +14,8 @@ Defined cases: a null or empty text is not counted and has a null score;
 repeated rows count as often as they occur, and each has a row; where counts
 of counts give no discount between 0 and 1, (r - 1/2) / r is used; a context
 whose counts are all above 5 leaves 1 / (its count + 1) for unseen tokens.
+Texts of any length are counted and scored whole; the model of an empty table
+is empty, and under it a token has 1 / 257; other columns are not looked at.
 """
 
 from __future__ import annotations

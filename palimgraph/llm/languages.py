@@ -15,6 +15,8 @@ each language with the least hash of doc_id.
 Defined cases: a document without letters (null, empty, digits) has language
 'und' and no proportions; a null lang is not trained on; without any labelled
 document all are 'und'; every row gives one row.
+Texts of any length are read whole; an empty table gives none; other columns are
+not looked at, and the filter carries them along.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ licence to weak when the exception is a known linking exception.
 Defined cases: a null or empty text has no licences (class 'none'); a tag with
 a malformed expression, or an unknown name, is of class 'unknown'; every row
 of the table gives one row, repeated or without id alike.
+Texts of any length are scanned whole; a null doc_id stays null; an empty table
+gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ permutation of each source's blocks says which ones fill the quotas.
 Defined cases: a null source is a source of its own, named ''; a source of
 weight 0, null or without tokens gets no block; documents without tokens go
 where their place in the stream is; equal rows are ordered arbitrarily.
+Texts of any length count whole; an empty table gives no rows and no blocks;
+columns of other names, also those used inside, are carried along untouched.
 """
 
 from __future__ import annotations

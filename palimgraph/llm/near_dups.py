@@ -7,6 +7,8 @@ Defined cases: a text without words (null, empty, only punctuation) has no
 signature and is never a duplicate; one of fewer words than a shingle is one
 shingle; rows with equal doc_id are one document; a null doc_id is stood for
 by a hash of its text; other columns are not looked at.
+Texts of any length are read whole; an empty table has no group; the filter
+carries other columns along, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ their length in a fixed order.
 
 Defined cases: a text without tokens (null, empty) is in no sequence; repeated
 rows are packed each; equal documents are ordered arbitrarily among equals.
+A text longer than the capacity fills whole sequences and leaves a remainder; a
+null doc_id is packed as null; an empty table gives no sequence; other columns
+are not looked at.
 """
 
 from __future__ import annotations

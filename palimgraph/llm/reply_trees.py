@@ -11,6 +11,8 @@ there, or null, makes a root; messages on or below a cycle of replies are in
 no path; a null role is 'unknown', a null text is empty, a null score 0; ties
 of score are ranked by the leaf's id; text that looks like a turn mark is
 broken up by a space.
+Texts of any length stand whole; an empty table has no path; other columns are
+not looked at.
 """
 
 from __future__ import annotations

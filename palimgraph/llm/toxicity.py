@@ -14,6 +14,8 @@ Defined cases: a null or empty text is not toxic (its score is the
 intercept's); a label that is null or of an absent document is not used;
 repeated labels of a document count once, toxic if any is; without both labels
 nothing is toxic; every row gives one row.
+Texts of any length are scored whole; a null doc_id stays null; an empty table
+gives no rows; other columns are carried along by the filter.
 """
 
 from __future__ import annotations
