@@ -37,6 +37,18 @@ class Rel:
         return F.col(self.cols[name]) if name in self.cols else None
 
 
+#: Between a graph and a node that carries it; no IRI has it.
+_TAG = "\x01"
+
+
+@dataclass
+class Tagged:
+    """Edges (x, p, y) of several graphs (g), whose nodes carry their graph."""
+
+    edges: DataFrame
+    graphs: DataFrame
+
+
 class Compiler:
     def __init__(self, store: Any, services: dict[str, Any] | None = None):
         self.store, self.services = store, services or {}
@@ -351,17 +363,30 @@ class Compiler:
         return self.bind(pairs, [(p.s, "x"), (p.o, "y")])
 
     def path_in(self, rel: Rel, p: Pattern) -> Rel:
-        graphs = [r[0] for r in rel.df.select(rel.cols[p.g.name]).distinct().collect()]
-        if len(graphs) > 100:
-            raise UnsupportedQuery("a path in more than 100 graphs at once")
-        parts = []
-        for g in graphs:
-            made = self.path(Pattern(p.s, p.p, p.o, g))
-            alias = self.fresh(p.g.name)
-            parts.append(Rel(made.df.withColumn(alias, F.lit(g)), made.cols | {p.g.name: alias}))
-        return self.join(rel, self.union(parts)) if parts else Rel(rel.df.where(F.lit(False)), rel.cols)
+        """A path in each graph that a column of rel names: nodes carry their graph, so no step leaves it."""
+        graphs = self.distinct(rel, {p.g.name})
+        name = graphs.cols[p.g.name]
+        found = self.correlate(graphs, Pattern(Var(".x"), Var(".p"), Var(".y"), p.g))
+        g = F.col(found.cols[p.g.name])
+        tag = lambda c: F.concat(g, F.lit(_TAG), F.col(found.cols[c]))
+        edges = found.df.select(tag(".x").alias("x"), F.col(found.cols[".p"]).alias("p"), tag(".y").alias("y"))
+        starts = [x for x in (p.s, p.o) if isinstance(x, str)]
+        pairs = self.pairs(p.p, Tagged(edges, graphs.df.select(F.col(name).alias("g"))), terms=starts)
+        x, y = (F.split(c, _TAG, 2) for c in ("x", "y"))
+        pairs = pairs.select(x[0].alias("g"), x[1].alias("x"), y[1].alias("y"))
+        for side, c in ((p.s, "x"), (p.o, "y")):
+            if isinstance(side, str):
+                pairs = pairs.where(F.col(c) == side)
+        return self.join(rel, self.bind(pairs, [(p.g, "g"), (p.s, "x"), (p.o, "y")]))
+
+    def nodes(self, terms: list[str], g: Any) -> DataFrame:
+        """(x) of terms that a path of no step may stay at; in each graph, where nodes carry it."""
+        rows = self.spark.createDataFrame([(t,) for t in terms], "x string")
+        return rows.crossJoin(g.graphs).select(F.concat("g", F.lit(_TAG), "x").alias("x")) if isinstance(g, Tagged) else rows
 
     def edges(self, g: Any) -> DataFrame:
+        if isinstance(g, Tagged):
+            return g.edges
         return self.data(g)[0].select(F.col("s").alias("x"), "p", F.col("o").alias("y"))
 
     def pairs(self, path: Any, g: Any, start: str | None = None, end: str | None = None, terms: list[str] = ()) -> DataFrame:
@@ -403,7 +428,7 @@ class Compiler:
             if start is not None or end is not None:
                 nodes = self.spark.createDataFrame([(t,) for t in (start, end) if t is not None], "x string")
             elif terms:
-                nodes = nodes.unionByName(self.spark.createDataFrame([(t,) for t in terms], "x string"))
+                nodes = nodes.unionByName(self.nodes(list(terms), g))
             out = out.unionByName(nodes.select("x", F.col("x").alias("y")))
         return out.distinct()
 

@@ -11,7 +11,7 @@ from palimgraph.plans.parser import SyntaxError_, UnsupportedQuery, parse
 from palimgraph.serving import endpoint, results
 from palimgraph.serving.negotiation import negotiate
 from palimgraph.store import HistoryStore
-from palimgraph.vocabulary import MAX, TRIPLES, XSD, iri, snapshot
+from palimgraph.vocabulary import MAX, REVISIONS, TRIPLES, XSD, iri, snapshot
 
 ROWS = [
     ("<x:a>", "<x:p>", '"1"^^<http://www.w3.org/2001/XMLSchema#integer>'), ("<x:b>", "<x:p>", '"1.50"^^<http://www.w3.org/2001/XMLSchema#decimal>'), ("<x:c>", "<x:p>", '"ten"'),
@@ -61,6 +61,16 @@ def test_queries(store, text, want):
     assert ask(store, text) == want
 
 
+def test_paths_stay_in_their_graph(spark):
+    rows = [("<x:a>", "<x:n>", "<x:b>", 1, 3), ("<x:b>", "<x:n>", "<x:c>", 2, MAX)]
+    h = HistoryStore(spark, spark.createDataFrame(rows, TRIPLES), spark.createDataFrame([(r, None, "<x:a>", r, "A", None) for r in range(1, 121)], REVISIONS))
+    found = h.sparql("SELECT ?r ?y { ?r hist:globalState ?g . GRAPH ?g { <x:a> <x:n>+ ?y } }").collect()
+    end = lambda x: x.rsplit("/", 1)[1]
+    assert sorted((end(r.r), r.y) for r in found) == [("1>", "<x:b>"), ("2>", "<x:b>"), ("2>", "<x:c>")]
+    stars = h.sparql("SELECT ?g ?y { VALUES ?i { 2 3 } ?r hist:revisionId ?i ; hist:globalState ?g . GRAPH ?g { <x:a> <x:n>* ?y } }").collect()
+    assert sorted((end(r.g), r.y) for r in stars) == [("2>", "<x:a>"), ("2>", "<x:b>"), ("2>", "<x:c>"), ("3>", "<x:a>")]
+
+
 def test_order_is_by_kind_and_value(store):
     rows = [r.o for r in store.sparql("PREFIX x: <x:> SELECT ?o { ?s ?p ?o FILTER(?p != x:date && ?p != x:q || isBlank(?o)) } ORDER BY ?o").collect()]
     assert rows == ["_:n", "<x:a>", "<x:b>", '"ten"', f'"1{INT}', f'"1.50{DEC}'] or rows[:3] == ["_:n", "<x:a>", "<x:b>"]
