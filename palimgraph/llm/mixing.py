@@ -3,10 +3,15 @@
 Each source's documents, in a seeded order, form a stream of tokens that is
 divided into equal blocks; a document belongs to the block in which it starts.
 Blocks go to the sources by highest quotients weight / (2 i + 1), as seats do,
-up to the first seat that a source has no block left for: the mixture then has
-the target weights and repeats nothing.  Shards take consecutive seats, so
-their integer quotas add up to the apportionment of the whole; a seeded
-permutation of each source's blocks says which ones fill the quotas.
+and none is repeated.  A source that has run out keeps its stock as its quota,
+and seats go on to the others until a budget of tokens is dealt: mix() deals
+all by default, so that a small source takes nothing from the large ones.  The
+shards have the target weights for as long as no source has run out.  Without
+a budget dealing ends at the first seat that a source has no block left for:
+the mixture has exactly the target weights, and the scarcest source sets its
+size.  Shards take consecutive seats, so their integer quotas add up to the
+apportionment of the whole; a seeded permutation of each source's blocks says
+which ones fill the quotas.
 
 Defined cases: a null source is a source of its own, named ''; a source of
 weight 0, null or without tokens gets no block; documents without tokens go
@@ -67,11 +72,27 @@ def apportion(weights: dict[str, float], seats: int) -> dict[str, int]:
         heapq.heapify(heap)
 
 
-def shard_quotas(weights: dict[str, float], stock: dict[str, int], shards: int) -> dict[str, list[int]]:
-    """Cumulative quotas of each source after each shard."""
+def apportion_stock(weights: dict[str, float], stock: dict[str, int], seats: int) -> dict[str, int]:
+    """Quotas where no source gets more seats than its stock: those it can't fill go on to the others."""
+    full: dict[str, int] = {}
+    while True:
+        # A source over its stock here stays so when seats of other full sources are added to the rest.
+        quotas = apportion({s: w for s, w in weights.items() if s not in full}, seats - sum(full.values()))
+        over = {s: stock[s] for s, q in quotas.items() if q > stock[s]}
+        if not over:
+            return full | quotas
+        full |= over
+
+
+def shard_quotas(weights: dict[str, float], stock: dict[str, int], shards: int, most: float | None = None) -> dict[str, list[int]]:
+    """Cumulative quotas of each source after each shard, of so many blocks at most; None: up to the first missing block."""
     weights = {s: float(w) for s, w in weights.items() if w and w > 0 and stock.get(s, 0) > 0}
     if not weights:
         return {}
+    if most is not None:
+        seats = int(min(most, sum(stock[s] for s in weights)))
+        steps = [apportion_stock(weights, stock, seats * (j + 1) // shards) for j in range(shards)]
+        return {s: [q[s] for q in steps] for s in weights}
     limit = max(w / (2 * stock[s] + 1) for s, w in weights.items())
     name = min(s for s, w in weights.items() if w / (2 * stock[s] + 1) == limit)
     seats = sum(seats_before(weights, limit, name).values())
@@ -97,10 +118,12 @@ def _streams(docs: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def assign_blocks(docs: DataFrame, weights: dict[str, float] | None = None, *, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def assign_blocks(docs: DataFrame, weights: dict[str, float] | None = None, *, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = SEED, budget: float | None = None) -> DataFrame:
     """The chosen documents: row (the document's columns), source, n_tokens, block, shard.
 
-    weights: target share of each source; by default the square root of its tokens."""
+    weights: target share of each source; by default the square root of its tokens.
+    budget: tokens to deal, in whole blocks, going on past sources that have run out; math.inf for all.
+    None ends at the first missing block."""
     spark = docs.sparkSession
     streams = _streams(docs, seed)
     sums = cut(streams.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n")))
@@ -108,7 +131,7 @@ def assign_blocks(docs: DataFrame, weights: dict[str, float] | None = None, *, b
     stock = {s: -(-n // block_tokens) for s, n in totals.items()}
     if weights is None:
         weights = {s: math.sqrt(n) for s, n in totals.items()}
-    quotas = shard_quotas({k or "": w for k, w in weights.items()}, stock, shards)
+    quotas = shard_quotas({k or "": w for k, w in weights.items()}, stock, shards, budget if budget in (None, math.inf) else budget // block_tokens)
     rows = [(s, stock[s], *_permutation(stock[s], seed), q) for s, q in sorted(quotas.items())]
     plan = spark.createDataFrame(rows, "source string, blocks bigint, a bigint, b bigint, quotas array<bigint>")
     starts = sums.withColumn("start", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).join(plan, "source").drop("n")
@@ -122,6 +145,6 @@ def assign_blocks(docs: DataFrame, weights: dict[str, float] | None = None, *, b
     return placed.select("row", "source", "n_tokens", "block", shard.alias("shard"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, budget: float | None = math.inf, **options) -> DataFrame:
     """The chosen documents, with their own columns."""
-    return assign_blocks(docs, weights, **options).select("row.*")
+    return assign_blocks(docs, weights, budget=budget, **options).select("row.*")

@@ -47,6 +47,36 @@ def test_mixture_has_target_weights(spark):
     assert len({(r.row.doc_id) for r in got}) == len(got)
 
 
+def stocked_seats_one_by_one(weights, stock, seats):
+    given = dict.fromkeys(weights, 0)
+    for _ in range(seats):
+        s = min((s for s in weights if given[s] < stock[s]), key=lambda s: (-Fraction(weights[s]) / (2 * given[s] + 1), s))
+        given[s] += 1
+    return given
+
+
+def test_sources_that_run_out_leave_seats_to_the_others():
+    rng = random.Random(11)
+    for _ in range(60):
+        weights = {f"s{i}": float(rng.choice([1, 2, 3, 7, 50])) for i in range(rng.randint(1, 6))}
+        stock = {s: rng.choice([1, 2, 9, 40]) for s in weights}
+        most, total = rng.randint(1, 150), sum(stock.values())
+        got = mixing.shard_quotas(weights, stock, 4, most)
+        for j in range(4):
+            assert {s: q[j] for s, q in got.items()} == stocked_seats_one_by_one(weights, stock, min(most, total) * (j + 1) // 4)
+        assert {s: q[-1] for s, q in mixing.shard_quotas(weights, stock, 4, math.inf).items()} == stock
+
+
+def test_a_tiny_source_takes_nothing_from_large_ones(spark):
+    rows = [(i, "w " * 50, "en", "ab"[i % 2], 100) for i in range(2000)] + [(2000, "w " * 50, "en", None, 100)]
+    d = fx.docs(spark, rows)
+    assert mixing.mix(d, block_tokens=500).count() == 2001
+    some = mixing.assign_blocks(d, {"a": 2, "b": 1, "": 5}, block_tokens=500, budget=60 * 500).collect()
+    blocks = Counter(s for s, _ in {(r.source, r.block) for r in some})
+    assert blocks == stocked_seats_one_by_one({"a": 2.0, "b": 1.0, "": 5.0}, {"a": 100, "b": 100, "": 1}, 60)
+    assert mixing.mix(d, {"a": 1.0}, block_tokens=500).count() == 1000
+
+
 # -- 2 languages
 
 
