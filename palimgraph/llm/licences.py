@@ -6,7 +6,9 @@ A document's licences are what its notices name together with its tags'
 expressions; all of them hold at once.  The verdict is the strictest class
 that the document can be used under: in an expression OR takes the most
 permissive side, AND the strictest, and WITH softens a strong copyleft
-licence to weak when the exception is a known linking exception.
+licence to weak when the exception is a known linking exception.  A notice that
+reserves all rights, or claims copyright, and no more makes a text proprietary;
+beside a licence it takes nothing away, as licences' own headers hold it.
 
 Defined cases: a null or empty text has no licences (class 'none'); a tag with
 a malformed expression, or an unknown name, is of class 'unknown'; every row
@@ -24,20 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: From the most permissive to the strictest.
-CLASSES = ("none", "public-domain", "permissive", "weak-copyleft", "copyleft", "network-copyleft", "non-commercial", "unknown")
+CLASSES = ("none", "public-domain", "permissive", "weak-copyleft", "copyleft", "network-copyleft", "non-commercial", "proprietary", "unknown")
 NAMES = {
     "public-domain": "CC0-1.0 Unlicense 0BSD PDDL-1.0 WTFPL",
     "permissive": "MIT MIT-0 Apache-2.0 Apache-1.1 BSD-2-Clause BSD-3-Clause BSD-4-Clause ISC Zlib BSL-1.0 PSF-2.0 Python-2.0 CC-BY-3.0 CC-BY-4.0 X11 NCSA PostgreSQL OFL-1.1 Artistic-2.0 Unicode-DFS-2016",
     "weak-copyleft": "LGPL-2.0 LGPL-2.1 LGPL-3.0 MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 CDDL-1.1 MS-PL",
     "copyleft": "GPL-1.0 GPL-2.0 GPL-3.0 CC-BY-SA-3.0 CC-BY-SA-4.0 EUPL-1.2 OSL-3.0 MS-RL",
     "network-copyleft": "AGPL-1.0 AGPL-3.0 SSPL-1.0 RPL-1.5",
-    "non-commercial": "CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CC-BY-ND-4.0 BUSL-1.1",
+    "non-commercial": "CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0 BUSL-1.1",
+    "proprietary": "All-Rights-Reserved Copyright-Notice",
 }
 CLASS_OF = {n.lower(): (n, c) for c, ns in NAMES.items() for n in ns.split()}
 LINKING = {x.lower() for x in "Classpath-exception-2.0 GCC-exception-3.1 GCC-exception-2.0 Bison-exception-2.2 Autoconf-exception-3.0 LLVM-exception Linux-syscall-note Font-exception-2.0 OpenJDK-assembly-exception-1.0 Qt-GPL-exception-1.0".split()}
 #: Notice phrases, in lower case with single spaces.
 PHRASES = {
     "licensed under the apache license, version 2.0": "Apache-2.0",
+    "under the apache license, version 2.0": "Apache-2.0",
+    "under the apache license version 2.0": "Apache-2.0",
+    "under the apache license 2.0": "Apache-2.0",
     "released under the mit license": "MIT",
     "licensed under the mit license": "MIT",
     "permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
@@ -61,12 +67,41 @@ PHRASES = {
     "creative commons attribution-noncommercial 4.0": "CC-BY-NC-4.0",
     "creative commons attribution-sharealike 4.0": "CC-BY-SA-4.0",
     "creative commons attribution 4.0": "CC-BY-4.0",
+    "licensed under cc by-nc-nd 4.0": "CC-BY-NC-ND-4.0",
+    "creative commons attribution-noncommercial-sharealike 4.0": "CC-BY-NC-SA-4.0",
+    "creative commons attribution-noderivatives 4.0": "CC-BY-ND-4.0",
+    "creative commons attribution-noderivs 4.0": "CC-BY-ND-4.0",
+    "creative commons attribution-noncommercial-noderivatives 4.0": "CC-BY-NC-ND-4.0",
+    "creative commons attribution-noncommercial-noderivs 4.0": "CC-BY-NC-ND-4.0",
+    "licensed under cc by 3.0": "CC-BY-3.0",
+    "licensed under cc by-sa 3.0": "CC-BY-SA-3.0",
+    "licensed under cc by-nc 3.0": "CC-BY-NC-3.0",
+    "licensed under cc by-nc-sa 3.0": "CC-BY-NC-SA-3.0",
+    "licensed under cc by-nd 3.0": "CC-BY-ND-3.0",
+    "licensed under cc by-nc-nd 3.0": "CC-BY-NC-ND-3.0",
+    "creative commons attribution 3.0": "CC-BY-3.0",
+    "creative commons attribution-sharealike 3.0": "CC-BY-SA-3.0",
+    "creative commons attribution-noncommercial 3.0": "CC-BY-NC-3.0",
+    "creative commons attribution-noncommercial-sharealike 3.0": "CC-BY-NC-SA-3.0",
+    "creative commons attribution-noderivatives 3.0": "CC-BY-ND-3.0",
+    "creative commons attribution-noderivs 3.0": "CC-BY-ND-3.0",
+    "creative commons attribution-noncommercial-noderivatives 3.0": "CC-BY-NC-ND-3.0",
+    "creative commons attribution-noncommercial-noderivs 3.0": "CC-BY-NC-ND-3.0",
     "boost software license - version 1.0": "BSL-1.0",
+    "all rights reserved": "All-Rights-Reserved",
+    "all rights are reserved": "All-Rights-Reserved",
+    "alle rechte vorbehalten": "All-Rights-Reserved",
+    "tous droits réservés": "All-Rights-Reserved",
+    "todos los derechos reservados": "All-Rights-Reserved",
+    "copyright (c)": "Copyright-Notice",
+    "copyright ©": "Copyright-Notice",
 }
 TAGS = ("spdx-license-identifier:",)
 _RANK = {c: i for i, c in enumerate(CLASSES)}
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.:+-]*)")
 _SPACE = re.compile(r"\s+")
+#: Copyright claims by their year, in lower case: 'copyright 2020', '(c) 1999', '© 2020'.
+_CLAIM = re.compile(r"(?:\bcopyright:?|\(c\)|©) ?(?:19|20)\d\d(?!\d)")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -186,8 +221,8 @@ def _expression(line: str) -> str:
     return line[:end].strip()
 
 
-def scan_text(text: str | None, automaton) -> tuple[list[str], list[str], str]:
-    """Licences, tag expressions and the class of one text."""
+def scan_text(text: str | None, automaton, claims: bool = True) -> tuple[list[str], list[str], str]:
+    """Licences, tag expressions and the class of one text; claims: whether copyright claims by year are notices."""
     names, expressions, kind = set(), [], "none"
     # White space runs count as one space, so a notice may be broken over lines.
     lines = (text or "").replace("\r", "\n")
@@ -201,7 +236,10 @@ def scan_text(text: str | None, automaton) -> tuple[list[str], list[str], str]:
             tagged = True
         elif end + 1 == len(flat) or not (flat[end].isalnum() and flat[end + 1].isalnum()):
             names.add(name)
-            kind = max(kind, CLASS_OF[name.lower()][1], key=_RANK.__getitem__)
+    if claims and _CLAIM.search(flat):
+        names.add("Copyright-Notice")
+    granted = [k for n in names if (k := CLASS_OF[n.lower()][1]) != "proprietary"]
+    kind = max(granted, default="none", key=_RANK.__getitem__)
     if tagged:
         for m in re.finditer(r"(?i)spdx-license-identifier:([^\n]*)", lines):
             expression = _expression(m.group(1))
@@ -209,6 +247,8 @@ def scan_text(text: str | None, automaton) -> tuple[list[str], list[str], str]:
             k, found = evaluate(expression)
             names.update(found)
             kind = max(kind, k, key=_RANK.__getitem__)
+    if names and not granted and not expressions:
+        kind = "proprietary"
     return sorted(names), expressions, kind
 
 
@@ -219,7 +259,7 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, allowed: tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(given)
         for batch in batches:
-            found = [scan_text(t, automaton) for t in batch.column("text").to_pylist()]
+            found = [scan_text(t, automaton, phrases is None) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
                 "licences": pa.array([f[0] for f in found], pa.list_(pa.string())),

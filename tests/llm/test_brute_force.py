@@ -345,6 +345,26 @@ def test_automaton_equals_search(spark):
     assert got.licences == ["GPL-2.0", "MIT"] and got.expressions == ["MIT OR GPL-2.0-only"] and got["class"] == "permissive" and got.allowed
 
 
+#: Written apart from the operator's phrases: (notice, class, allowed).
+NOTICES = [
+    ("All rights reserved.", "proprietary", False), ("ALL RIGHTS\nRESERVED", "proprietary", False), ("Alle Rechte vorbehalten.", "proprietary", False),
+    ("Tous droits réservés.", "proprietary", False), ("Todos los derechos reservados.", "proprietary", False), ("Copyright 2019 Example Press", "proprietary", False),
+    ("Copyright (c) Example Press", "proprietary", False), ("© 2021 Example Press", "proprietary", False), ("(C) 1998 Example Press", "proprietary", False),
+    ("Copyright (c) 2020 A. Writer. All rights reserved. Redistribution and use in source and binary forms, with or without modification", "permissive", True),
+    ("Copyright 2020 A. Writer. Released under the MIT License.", "permissive", True), ("Copyright 2020 A. Writer\nSPDX-License-Identifier: GPL-3.0-only", "copyleft", False),
+    ("All rights reserved. Licensed under CC BY-NC 4.0.", "non-commercial", False), ("Licensed under the Apache License 2.0", "permissive", True),
+    ("under the Apache License Version 2.0", "permissive", True), ("Licensed under CC BY 3.0", "permissive", True), ("Licensed under CC BY-SA 3.0.", "copyleft", False),
+    ("Creative Commons Attribution 3.0 Unported", "permissive", True), ("Creative Commons Attribution-NonCommercial-ShareAlike 3.0", "non-commercial", False),
+    ("Creative Commons Attribution-NoDerivatives 4.0 International", "non-commercial", False), ("The copyright of 20 pages was discussed (c).", "none", True), ("Some rights reserved", "none", True),
+]
+
+
+def test_notices_and_their_verdicts(spark):
+    rows = [(i, f"Some prose before it.\n{notice}\nand after it", "en", "a", 0) for i, (notice, _, _) in enumerate(NOTICES)]
+    got = {r.doc_id: r for r in licences.scan(fx.docs(spark, rows)).collect()}
+    assert [(n, got[i]["class"], got[i].allowed) for i, (n, _, _) in enumerate(NOTICES)] == NOTICES
+
+
 # -- 8 reply trees
 
 
