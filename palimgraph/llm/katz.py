@@ -2,12 +2,15 @@
 
 Tokens are the bytes of the UTF-8 text and an end mark: a closed vocabulary of
 257 for every script, in which the table of n-grams stays far below the size
-of the corpus.  Counts are of all documents.  Good-Turing discounts apply to
+of the corpus.  With a Vocabulary, the frequent pieces of the whole corpus (a
+word with the space before it, or another character) are tokens too, and other
+pieces are spelled in bytes: nothing of a text is left out, n-grams reach over
+words, and their table grows with the corpus.  Counts are of all documents.  Good-Turing discounts apply to
 counts up to 5; backoff weights make each context's probabilities sum to one
 exactly.  The model is stored as a table partitioned by order and evaluated
 from the longest context down, for every token.
 
-An n-gram is a 64-bit code with 9 bits for each token, the last one lowest, so
+An n-gram is a 64-bit code with 9 bits (20 with pieces) for each token, the last one lowest, so
 the codes of shorter n-grams and contexts are bit operations.
 
 Defined cases: a null or empty text is not counted and has a null score;
@@ -20,8 +23,11 @@ is empty, and under it a token has 1 / 257; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +40,67 @@ from .textvec import chunks
 ORDER, CUT, TOKENS, END, BEGIN = 5, 5, 257, 256, 257
 #: Rows of a model that is sent to the executors (16 bytes each); a larger one is joined.
 BROADCAST_ROWS = 8_000_000
+#: Pieces: at most so many tokens beside the bytes, bits of each token in a code, order of the model.
+PIECES, PIECE_BITS, PIECE_ORDER = 100_000, 20, 2
+#: A model of pieces grows with the corpus, so only one of a small corpus is sent.
+PIECE_BROADCAST_ROWS = 1_000_000
+_PIECE = re.compile(r" ?\w+|\W")
 
 
-def codes(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+class Vocabulary:
+    """Bytes, marks, and pieces numbered from 258 on."""
+
+    bits = PIECE_BITS
+
+    def __init__(self, pieces: list[str]):
+        self.at = {p: BEGIN + 1 + i for i, p in enumerate(pieces)}
+        self.size = TOKENS + len(pieces)
+
+    def encode(self, text: str) -> list[int]:
+        pieces = _PIECE.findall(text)
+        ids = list(map(self.at.get, pieces))
+        if None in ids:
+            ids = list(chain.from_iterable((i,) if i is not None else p.encode("utf-8", "surrogatepass") for i, p in zip(ids, pieces)))
+        return ids
+
+
+def vocabulary(docs: DataFrame, most: int = PIECES) -> Vocabulary:
+    """The most frequent pieces of all documents, of those of two bytes or more that occur more than once; ties by piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        emit = lambda: pa.RecordBatch.from_pydict({"piece": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.update(_PIECE.findall(text or ""))
+            if len(held) > 500_000:
+                yield emit()
+                held = Counter()
+        yield emit()
+
+    found = docs.select(docs["text"].alias("text")).mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    rows = found.where((F.col("n") > 1) & (F.octet_length("piece") > 1)).orderBy(F.desc("n"), "piece").limit(most).collect()
+    return Vocabulary([r["piece"] for r in rows])
+
+
+def _bits(pieces: Vocabulary | None) -> int:
+    return 9 if pieces is None else pieces.bits
+
+
+def _size(pieces: Vocabulary | None) -> int:
+    return TOKENS if pieces is None else pieces.size
+
+
+def codes(texts: list[str | None], order: int, pieces: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The code of the n-gram that ends at each token, and how many tokens each text has."""
     pad = order - 1
-    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if pieces is None:
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"".join(parts), np.uint8)
+    else:
+        parts = [pieces.encode(t or "") for t in texts]
+        data = np.fromiter(chain.from_iterable(parts), np.int64, sum(map(len, parts)))
     sizes = np.array([len(p) + 1 if p else 0 for p in parts], np.int64)
-    data = np.frombuffer(b"".join(p for p in parts if p), np.uint8)
     full = sizes[sizes > 0]
     ends = np.cumsum(full + pad)
     symbols = np.full(int(ends[-1]) if len(ends) else 0, BEGIN, np.int64)
@@ -54,7 +113,7 @@ def codes(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
     symbols[inner] = data
     code = symbols.copy()
     for j in range(1, order):
-        code[j:] |= symbols[:-j] << np.int64(9 * j)
+        code[j:] |= symbols[:-j] << np.int64(_bits(pieces) * j)
     return code[token], sizes
 
 
@@ -69,8 +128,9 @@ def _tally(code: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarra
     return code[starts], np.add.reduceat(times, starts)
 
 
-def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def count(docs: DataFrame, order: int = ORDER, pieces: Vocabulary | None = None) -> DataFrame:
     """(code, n) of the n-grams of the highest order, over all documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -79,7 +139,7 @@ def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in chunks(texts):
-                held.append(_tally(codes(texts[a:b], order)[0]))
+                held.append(_tally(codes(texts[a:b], order, sent.value)[0]))
                 rows += len(held[-1][0])
             if rows > 4_000_000:
                 held = [_tally(*(np.concatenate(x) for x in zip(*held)))]
@@ -104,34 +164,35 @@ def discounts(counts_of_counts: dict[int, int], cut: int = CUT) -> list[float]:
     return out
 
 
-def fit(docs: DataFrame, *, order: int = ORDER, folder: str | None = None) -> DataFrame:
+def fit(docs: DataFrame, *, order: int = ORDER, folder: str | None = None, pieces: Vocabulary | None = None) -> DataFrame:
     """The stored model: rows (order, kind, code, value).
 
     kind 'p': log-probability of the n-gram's last token after the others;
     kind 'b': log backoff weight of a context (one token less than the order)."""
-    if not 2 <= order <= 7:
-        raise ValueError("an order of 2 to 7 fits a code")
+    bits, size = _bits(pieces), _size(pieces)
+    if not 2 <= order <= 63 // bits:
+        raise ValueError(f"an order of 2 to {63 // bits} fits a code")
     spark = docs.sparkSession
     use_shared_folder(spark)
     at = folder or f"{spark.sparkContext.getCheckpointDir()}/katz-{uuid.uuid4().hex}"
     store = lambda df, name: (df.write.parquet(f"{at}/{name}"), spark.read.parquet(f"{at}/{name}"))[1]
-    top = store(count(docs, order), "counts")
+    top = store(count(docs, order, pieces), "counts")
     lower = None
     for k in range(1, order + 1):
         # A shorter n-gram's count is the sum over the long ones that end with it.
-        table = top if k == order else top.groupBy(F.col("code").bitwiseAND(F.lit((1 << 9 * k) - 1)).alias("code")).agg(F.sum("n").alias("n"))
+        table = top if k == order else top.groupBy(F.col("code").bitwiseAND(F.lit((1 << bits * k) - 1)).alias("code")).agg(F.sum("n").alias("n"))
         of = {r["n"]: r["times"] for r in table.where(F.col("n") <= CUT + 1).groupBy("n").agg(F.count("*").alias("times")).collect()}
         factor = F.lit(1.0)
         for r, d in enumerate(discounts(of), 1):
             factor = F.when(F.col("n") == r, F.lit(d)).otherwise(factor)
-        table = table.withColumn("context", F.shiftrightunsigned("code", 9)).withColumn("mass", factor * F.col("n"))
+        table = table.withColumn("context", F.shiftrightunsigned("code", bits)).withColumn("mass", factor * F.col("n"))
         if lower is None:
-            table = table.withColumn("below", F.lit(1.0 / TOKENS))
+            table = table.withColumn("below", F.lit(1.0 / size))
         else:
-            table = table.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << 9 * (k - 1)) - 1))).join(lower, "suffix")
+            table = table.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << bits * (k - 1)) - 1))).join(lower, "suffix")
         sums = table.groupBy("context").agg(F.sum("n").alias("total"), F.sum("mass").alias("kept"), F.sum("below").alias("covered"), F.count("*").alias("seen"), F.min("n").alias("least"))
         left = F.when(F.col("least") > CUT, 1.0 / (F.col("total") + 1)).otherwise((F.col("total") - F.col("kept")) / F.col("total"))
-        whole = F.col("seen") >= TOKENS
+        whole = F.col("seen") >= size
         # The share of a context's mass that its seen tokens get, over their discounted counts.
         sums = sums.select("context", (F.when(whole, F.lit(1.0)).otherwise(1 - left) / F.col("kept")).alias("scale"), F.when(~whole, F.log(left) - F.log(1 - F.col("covered"))).alias("weight"))
         named = lambda df, kind: df.select(F.lit(kind).alias("kind"), "code", "value")
@@ -151,7 +212,8 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
 class Tables:
     """A model in memory: sorted codes and values of each order."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, pieces: Vocabulary | None = None):
+        self.bits, self.size = _bits(pieces), _size(pieces)
         self.of: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
         order, kind, code, value = (rows.column(c).to_numpy() for c in ("order", "kind", "code", "value"))
         for k in np.unique(order):
@@ -172,79 +234,94 @@ class Tables:
         """Of the last token of each n-gram of order k: the stored one, or the backoff weight with the next shorter one's."""
         k = self.order if k is None else k
         if k == 0:
-            return np.full(len(code), -np.log(TOKENS))
+            return np.full(len(code), -np.log(self.size))
         found, out = self._find(k, "p", code)
         rest = np.flatnonzero(~found)
         if len(rest):
-            has, weight = self._find(k, "b", code[rest] >> np.int64(9))
-            out[rest] = np.where(has, weight, 0.0) + self.log_probability(code[rest] & np.int64((1 << 9 * (k - 1)) - 1), k - 1)
+            has, weight = self._find(k, "b", code[rest] >> np.int64(self.bits))
+            out[rest] = np.where(has, weight, 0.0) + self.log_probability(code[rest] & np.int64((1 << self.bits * (k - 1)) - 1), k - 1)
         return out
 
 
-def _scored(tables: Tables, texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    code, sizes = codes(texts, order)
+def _by_text(texts: list[str | None], order: int, pieces: Vocabulary | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the text, code and times of n-grams, and how many tokens each text has."""
+    code, sizes = codes(texts, order, pieces)
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
-    if order <= 5 and len(texts) < 1 << 18:  # text and code share a word: one sort counts each text's n-grams
+    if order * _bits(pieces) <= 45 and len(texts) < 1 << 18:  # text and code share a word: one sort counts each text's n-grams
         both, times = _tally(code | (doc << np.int64(45)))
-        doc, code = both >> np.int64(45), both & np.int64((1 << 45) - 1)
-    else:
-        times = np.ones(len(code), np.int64)
+        return both >> np.int64(45), both & np.int64((1 << 45) - 1), times, sizes
+    return doc, code, np.ones(len(code), np.int64), sizes
+
+
+def _scored(tables: Tables, texts: list[str | None], order: int, pieces: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray]:
+    doc, code, times, sizes = _by_text(texts, order, pieces)
     return np.bincount(doc, tables.log_probability(code) * times, len(texts)), sizes
 
 
 _SCORE = "doc_id bigint, n_tokens bigint, log_prob double"
 
 
-def _by_broadcast(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(Tables(model.select("order", "kind", "code", "value").toArrow()))
+def _by_broadcast(docs: DataFrame, model: DataFrame, order: int, pieces: Vocabulary | None) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(Tables(model.select("order", "kind", "code", "value").toArrow(), pieces))
+    sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in chunks(texts):
-                total, sizes = _scored(held.value, texts[a:b], order)
+                total, sizes = _scored(held.value, texts[a:b], order, sent.value)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "n_tokens": pa.array(sizes), "log_prob": pa.array(total, pa.float64(), mask=sizes == 0)})
 
     return docs.mapInArrow(run, _SCORE)
 
 
-def _by_join(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """The same by joins, order after order, for a model too large to send.  Rows are told apart by a hash of id and text, so equal rows share their work."""
+def _by_join(docs: DataFrame, model: DataFrame, order: int, pieces: Vocabulary | None) -> DataFrame:
+    """The same by joins, order after order, for a model too large to send.  Rows are told apart by a hash of id and text; a key's sums are divided by its rows."""
+    bits, sent = _bits(pieces), docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, t in enumerate(texts):
-                code, n = _tally(codes([t], order)[0])
-                yield pa.RecordBatch.from_pydict({"key": pa.array([batch.column("key")[i].as_py()] * len(code), pa.string()), "code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64())})
+            for a, b in chunks(texts):
+                doc, code, n, _ = _by_text(texts[a:b], order, sent.value)
+                keys = batch.column("key").slice(a, b - a).to_numpy()
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[doc]), "code": pa.array(code), "n": pa.array(n.astype(np.int32))})
 
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text")))
+    key = F.xxhash64("doc_id", "text")
     keyed = docs.where("text <> ''").withColumn("key", key)
-    asked = keyed.select("key", "text").distinct().mapInArrow(run, "key string, code bigint, n bigint")
+    asked = keyed.select("key", "text").mapInArrow(run, "key bigint, code bigint, n int")
+    times = keyed.groupBy("key").agg(F.count("*").alias("times"))
     value, done = F.lit(0.0), F.lit(False)
     for k in range(order, 0, -1):
         of = model.where(F.col("order") == k)
         p = of.where("kind = 'p'").select(F.col("code").alias("suffix"), F.col("value").alias(f"p{k}"))
         b = of.where("kind = 'b'").select(F.col("code").alias("context"), F.col("value").alias(f"b{k}"))
-        suffix = F.col("code").bitwiseAND(F.lit((1 << 9 * k) - 1))
+        suffix = F.col("code").bitwiseAND(F.lit((1 << bits * k) - 1))
         asked = asked.withColumn("suffix", suffix).join(p, "suffix", "left").drop("suffix")
-        asked = asked.withColumn("context", F.shiftrightunsigned(suffix, 9)).join(b, "context", "left").drop("context")
+        asked = asked.withColumn("context", F.shiftrightunsigned(suffix, bits)).join(b, "context", "left").drop("context")
         step = F.coalesce(F.col(f"p{k}"), F.col(f"b{k}"), F.lit(0.0))
         value = value + F.when(done, F.lit(0.0)).otherwise(step)
         done = done | F.col(f"p{k}").isNotNull()
-    value = value + F.when(done, F.lit(0.0)).otherwise(F.lit(float(-np.log(TOKENS))))
+    value = value + F.when(done, F.lit(0.0)).otherwise(F.lit(float(-np.log(_size(pieces)))))
     sums = asked.select("key", "n", value.alias("v")).groupBy("key").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("v")).alias("log_prob"))
-    keyed = docs.withColumn("key", key)
+    sums = sums.join(times, "key").select("key", F.expr("n_tokens div times").alias("n_tokens"), (F.col("log_prob") / F.col("times")).alias("log_prob"))
+    keyed = docs.withColumn("key", F.when(F.col("text") != "", key))
     return keyed.join(sums, "key", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "log_prob")
 
 
-def score(docs: DataFrame, model: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, pieces: Vocabulary | None = None) -> DataFrame:
     """One row for each row: doc_id, n_tokens, log_prob (natural), bits_per_token."""
     order = model.agg(F.max("order")).first()[0] or ORDER
     slim = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
     by = _by_broadcast if model.count() <= broadcast_rows else _by_join
-    return by(slim, model, order).withColumn("bits_per_token", -F.col("log_prob") / F.col("n_tokens") / F.lit(float(np.log(2))))
+    return by(slim, model, order, pieces).withColumn("bits_per_token", -F.col("log_prob") / F.col("n_tokens") / F.lit(float(np.log(2))))
 
 
 def fit_and_score(docs: DataFrame, *, order: int = ORDER, **options) -> DataFrame:
     return score(docs, fit(docs, order=order), **options)
+
+
+def fit_and_score_pieces(docs: DataFrame, *, most: int = PIECES, order: int = PIECE_ORDER, broadcast_rows: int = PIECE_BROADCAST_ROWS) -> DataFrame:
+    """The same with a vocabulary of the documents' pieces."""
+    pieces = vocabulary(docs, most)
+    return score(docs, fit(docs, order=order, pieces=pieces), pieces=pieces, broadcast_rows=broadcast_rows)

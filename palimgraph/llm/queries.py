@@ -35,7 +35,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.fit_and_score(read(spark, sf_dir, "documents"))
+    return katz.fit_and_score_pieces(read(spark, sf_dir, "documents"))
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,6 +318,49 @@ def test_katz_sums_to_one(spark):
         assert abs(np.exp(tables.log_probability(code)).sum() - 1) < 1e-9
 
 
+def test_pieces_equal_recursion_and_see_the_order_of_words(spark):
+    texts = [" ".join(t.split()[i % 7 :]) for i, t in enumerate(["the cat sat on the mat, and the dog sat too."] * 9 + ["Wörter \U0001f600 here\n and  there"] * 2)]
+    d = fx.docs(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)] + [(20, None, None, None, 0), (0, texts[0], None, None, 0)])
+    pieces = katz.vocabulary(d, 12)
+    assert len(pieces.at) == 12 and " sat" in pieces.at
+    plain = PlainKatz([], 2)
+    plain.order, size = 2, pieces.size
+    for t in [*texts, texts[0]]:
+        ids = [katz.BEGIN, *pieces.encode(t), katz.END]
+        for x, y in zip(ids, ids[1:]):
+            plain.counts[1][(y,)] += 1
+            plain.counts[2][(x, y)] += 1
+    plain.d = [None, *(katz.discounts(Counter(c.values())) for c in plain.counts[1:])]
+    asked = [texts[0], "the cat sat on", "on sat cat the", "quite unseen ß", ""]
+    unseen = fx.docs(spark, [(i, t, None, None, 0) for i, t in enumerate(asked)] + [(0, texts[0], None, None, 0)])
+    model = katz.fit(d, order=2, pieces=pieces)
+    held, katz.TOKENS = katz.TOKENS, size  # the plain version reads the size of the vocabulary there
+    try:
+        want = []
+        for t in asked:
+            ids = [katz.BEGIN, *pieces.encode(t), katz.END]
+            want.append((len(ids) - 1, sum(math.log(plain.p(pair)) for pair in zip(ids, ids[1:]))))
+    finally:
+        katz.TOKENS = held
+    for options in ({}, {"broadcast_rows": 0}):
+        rows = katz.score(unseen, model, pieces=pieces, **options).collect()
+        got = {r.doc_id: (r.n_tokens, r.log_prob) for r in rows}
+        assert len(rows) == 6 and got.pop(4) == (0, None)
+        for i, (n, log_prob) in got.items():
+            assert n == want[i][0] and abs(log_prob - want[i][1]) < 1e-6 * abs(log_prob), (options, i)
+    assert want[1][1] > want[2][1]
+
+
+def test_op6_counts_across_words(spark):
+    docs = read(spark, fx.SF, "documents").limit(40)
+    grams = katz.count(docs, 2, katz.vocabulary(docs)).count()
+    words = {p for r in docs.collect() for w in [r.text.split()] for p in zip(w, w[1:])}
+    assert grams > 0.5 * len(words)
+    got = queries.op6_lm_scoring(spark, fx.SF).collect()
+    size = {r.doc_id: len(r.text.encode()) for r in read(spark, fx.SF, "documents").collect()}
+    assert len(got) == len(size) and sum(r.n_tokens for r in got) < 0.6 * sum(size.values())  # bytes would be one each, and the end marks
+
+
 # -- 7 licences
 
 
