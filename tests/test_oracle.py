@@ -4,7 +4,7 @@ import math
 
 import duckdb
 import pytest
-from conftest import SF
+from testtables import SF
 
 from palimgraph import queries as graph
 
