@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimgraph.shared import cut, use_shared_folder
+
+__all__ = ["TOKEN", "by_place", "cut", "doc_key", "n_tokens", "pick", "place", "read", "table", "use_shared_folder"]
+
 #: A token, where an operator counts tokens: a run of characters between ASCII white space.
 TOKEN = r"[^ \t\n\r\f]+"
 
@@ -25,23 +29,32 @@ def doc_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), F.xxhash64(F.lit("no id"), text))
 
 
-def use_shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go where spark.checkpoint.dir says.  A temporary folder
-    serves only a single-process session (tests); on a cluster without the
-    setting this raises, as executors share no local folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master == "local" or sc.master.startswith("local["):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="palimgraph-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, stored in the shared folder, without lineage."""
-    use_shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def place(df: DataFrame, name: str) -> int:
+    """Where the column of exactly that name is; without one, that which differs in case only.
+    ValueError if there is none, or more than one of the exact name."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are named {name}")
+    return found[0]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """The same columns named _0, _1 and so on, so that no names clash."""
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only these columns, whatever the others are called."""
+    return by_place(df).select(*(F.col(f"_{place(df, n)}").alias(n) for n in names))
+
+
+def table(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder as Parquet, of which readers take the columns they use.
+    The files go when the session ends."""
+    spark = df.sparkSession
+    use_shared_folder(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)

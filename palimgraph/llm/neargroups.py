@@ -1,9 +1,11 @@
 """Groups of documents with similar packed min-hash signatures.
 
-Candidates share a band; inside each band's bucket signatures are compared by
-bit counts and a spanning forest of the similar pairs is kept.  The forest
-connects what all the similar pairs of the bucket connect, so a bucket of
-thousands gives thousands of edges rather than millions, and loses none.
+Equal signatures are one node.  Candidates share a band; inside each band's
+bucket signatures are compared by bit counts and a spanning forest of the
+similar pairs is kept.  The forest connects what all the similar pairs of the
+bucket connect, so a bucket of thousands gives thousands of edges rather than
+millions, and loses none.  Copies never meet in a bucket: the rows of a node
+are counted and joined by its hash, and no task holds their list.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import table
 from .components import components
 
 _LANES = {1: 0xFFFFFFFFFFFFFFFF, 2: 0x5555555555555555, 4: 0x1111111111111111, 8: 0x0101010101010101}
+#: Rows of a bucket that are held at a time beside the representatives of its groups.
+BLOCK = 4096
 
 
 def matches(one: np.ndarray, many: np.ndarray, bits: int) -> np.ndarray:
@@ -96,25 +100,30 @@ def _edges(least: float, k: int, bits: int):
 
 
 def similar_edges(sigs: DataFrame, least: float, k: int, bits: int) -> DataFrame:
-    """(id, sig, bands) -> edges (a, b, similarity) that connect what the
-    similar pairs among the candidates connect."""
-    banded = sigs.select("id", F.explode("bands").alias("key"))
-    shared = banded.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").select("key", "id")
-    ready = shared.join(sigs.select("id", "sig"), "id").select("key", "id", "sig")
+    """(node, sig, bands), rows of a node being equal -> edges (a, b, similarity)
+    of nodes that connect what the similar pairs among the candidates connect."""
+    banded = sigs.select(F.explode("bands").alias("key"), "node").distinct()
+    shared = banded.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").select("key", "node")
+    each = sigs.groupBy("node").agg(F.first("sig").alias("sig"))
+    ready = shared.join(each, "node").select("key", F.col("node").alias("id"), "sig")
     ready = ready.repartition("key").sortWithinPartitions("key")
     return ready.mapInArrow(_edges(least, k, bits), "a bigint, b bigint, similarity double")
 
 
-def similar_groups(sigs: DataFrame, least: float, k: int, bits: int) -> DataFrame:
-    """(id, sig, bands) -> (id, root): the group's least id, for ids in groups
-    of two or more.  Equal signatures are one node of the search, so that
-    copies cost one row each.  A null signature is in no group."""
-    stored = cut(sigs.where("sig is not null").groupBy("sig").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id"), F.collect_set("id").alias("ids")))
-    copies = stored.where(F.size("ids") > 1).select(F.explode("ids").alias("a"), F.col("id").alias("b")).where("a <> b")
-    near = similar_edges(stored.select("id", "sig", "bands"), least, k, bits)
-    return components(copies.unionByName(near.select("a", "b")))
+def similar_groups(sigs: DataFrame, least: float, k: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(id, sig, bands, any other columns) -> the rows, stored, with their node (null without
+    signature), and (node, root, links) of nodes that are linked with others."""
+    stored = table(sigs.withColumn("node", F.when(F.col("sig").isNotNull(), F.xxhash64("sig"))))
+    near = similar_edges(stored.where("node is not null").select("node", "sig", "bands"), least, k, bits)
+    near = table(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    roots = components(near).withColumnRenamed("id", "node")
+    return stored.drop("sig", "bands"), roots.join(links, "node")
 
 
-def grouped(labels: DataFrame, name: str = "doc_ids") -> DataFrame:
-    """(id, root) -> one row for each group: group_id, its sorted ids, their number."""
-    return labels.groupBy(F.col("root").alias("group_id")).agg(F.sort_array(F.collect_set("id")).alias(name)).withColumn("n", F.size(name).cast("bigint"))
+def with_groups(stored: DataFrame, roots: DataFrame) -> DataFrame:
+    """Each stored row with root, the least node of its group, group_id, the group's least id, group_size, the number
+    of its different ids, and links: how many other nodes its own was found similar to."""
+    rows = stored.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = rows.where("root is not null").select("root", "id").distinct().groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
+    return rows.join(sizes, "root", "left")

@@ -63,6 +63,22 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, at)
 
 
+def string_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of strings without line ends."""
+    data = np.frombuffer("\n".join(words).encode("utf-8", "surrogatepass"), np.uint8) if words else np.zeros(0, np.uint8)
+    at = np.flatnonzero(data == 10)
+    starts, ends = np.r_[0, at + 1][: len(words)], np.r_[at, len(data)][: len(words)]
+    return run_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of values."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(_P, "p", len(values)), out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * _power(_P_INV, "i", len(values) + 1)[starts]
+    return mix64(hashes + (ends - starts).astype(np.uint64))
+
+
 def shingles(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of n words; a text of 1 to n - 1 words is one shingle."""
     total = len(hashes)
