@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimgraph.shared import cut, use_shared_folder
 
-__all__ = ["TOKEN", "by_place", "cut", "doc_key", "n_tokens", "pick", "place", "read", "table", "use_shared_folder"]
+__all__ = ["TOKEN", "by_place", "cut", "doc_key", "n_tokens", "pick", "place", "prefix", "read", "table", "use_shared_folder"]
 
 #: A token, where an operator counts tokens: a run of characters between ASCII white space.
 TOKEN = r"[^ \t\n\r\f]+"
@@ -29,6 +29,14 @@ def doc_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), F.xxhash64(F.lit("no id"), text))
 
 
+def prefix(rows: int, per: int = 20_000) -> int:
+    """How many hex digits of a hash part so many rows into buckets of about that many."""
+    digits = 1
+    while rows > per * 16**digits:
+        digits += 1
+    return digits
+
+
 def place(df: DataFrame, name: str) -> int:
     """Where the column of exactly that name is; without one, that which differs in case only.
     ValueError if there is none, or more than one of the exact name."""

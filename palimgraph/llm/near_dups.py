@@ -23,13 +23,13 @@ from pyspark.sql import Window as W
 
 from . import textvec
 from .common import by_place, doc_key, pick, place
-from .neargroups import similar_groups, with_groups
+from .neargroups import columns, similar_groups, with_groups
 
 SHINGLE, K, ROWS, BITS, LEAST, SEED = 3, 192, 4, 4, 0.5, 11
 
 
 def signatures(docs: DataFrame, *, shingle: int = SHINGLE, k: int = K, rows: int = ROWS, bits: int = BITS, seed: int = SEED) -> DataFrame:
-    """(id, sig, bands) of each row; sig is null where the text has no words."""
+    """(id, row_key, sig, bands) of each row; sig is null where the text has no words."""
     if k * bits % 64 or 8 % bits or k % rows:
         raise ValueError("k * bits must be a multiple of 64, bits of 1, 2, 4 or 8, rows a divisor of k")
 
@@ -39,13 +39,11 @@ def signatures(docs: DataFrame, *, shingle: int = SHINGLE, k: int = K, rows: int
             for a, b in textvec.chunks(texts):
                 hashes, offsets = textvec.shingles(*textvec.word_hashes(texts[a:b]), shingle)
                 mins = textvec.minima(hashes, offsets, k, seed)
-                packed, keys = textvec.pack_low_bits(mins, bits), textvec.bands(mins, rows)
                 empty = offsets[1:] == offsets[:-1]
                 yield pa.RecordBatch.from_pydict({
                     "id": ids.slice(a, b - a),
                     "row_key": batch.column("row_key").slice(a, b - a),
-                    "sig": pa.array([None if e else p.tobytes() for e, p in zip(empty, packed)], pa.binary()),
-                    "bands": pa.array([[] if e else x for e, x in zip(empty, keys)], pa.list_(pa.int64())),
+                    **columns(mins, empty, rows, bits),
                 })
 
     given = pick(docs, "doc_id", "text")

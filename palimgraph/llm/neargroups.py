@@ -4,8 +4,9 @@ Equal signatures are one node.  Candidates share a band; inside each band's
 bucket signatures are compared by bit counts and a spanning forest of the
 similar pairs is kept.  The forest connects what all the similar pairs of the
 bucket connect, so a bucket of thousands gives thousands of edges rather than
-millions, and loses none.  Copies never meet in a bucket: the rows of a node
-are counted and joined by its hash, and no task holds their list.
+millions, and loses none.  Copies never meet in a bucket: of a batch's rows of
+one node only the first brings its bands, and the rows are joined with their
+group by the node's hash, so no task holds their list.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import textvec
 from .common import table
 from .components import components
 
@@ -99,10 +101,19 @@ def _edges(least: float, k: int, bits: int):
     return run
 
 
+def columns(mins: np.ndarray, empty: np.ndarray, rows: int, bits: int) -> dict[str, pa.Array]:
+    """sig and bands of texts with these minima, bands only at a signature's first text; null and none where empty."""
+    packed, keys = textvec.pack_low_bits(mins, bits), textvec.bands(mins, rows)
+    sigs = [None if e else p.tobytes() for e, p in zip(empty, packed)]
+    seen: set[bytes] = set()
+    fresh = [s is not None and not (s in seen or seen.add(s)) for s in sigs]
+    return {"sig": pa.array(sigs, pa.binary()), "bands": pa.array([x if f else [] for f, x in zip(fresh, keys)], pa.list_(pa.int64()))}
+
+
 def similar_edges(sigs: DataFrame, least: float, k: int, bits: int) -> DataFrame:
     """(node, sig, bands), rows of a node being equal -> edges (a, b, similarity)
     of nodes that connect what the similar pairs among the candidates connect."""
-    banded = sigs.select(F.explode("bands").alias("key"), "node").distinct()
+    banded = sigs.select(F.explode("bands").alias("key"), "node").repartition("key").distinct()
     shared = banded.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").select("key", "node")
     each = sigs.groupBy("node").agg(F.first("sig").alias("sig"))
     ready = shared.join(each, "node").select("key", F.col("node").alias("id"), "sig")
