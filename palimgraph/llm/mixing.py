@@ -15,7 +15,8 @@ which ones fill the quotas.
 
 Defined cases: a null source is a source of its own, named ''; a source of
 weight 0, null or without tokens gets no block; documents without tokens go
-where their place in the stream is; equal rows are ordered arbitrarily.
+where their place in the stream is; rows equal in doc_id and text are ordered
+arbitrarily, sources of equal quotients by name.
 Texts of any length count whole; an empty table gives no rows and no blocks;
 columns of other names, also those used inside, are carried along untouched.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, n_tokens
+from .common import by_place, cut, n_tokens, place, prefix
 
 BLOCK_TOKENS, SHARDS, SEED = 2048, 8, 17
 
@@ -109,13 +110,12 @@ def _permutation(n: int, seed: int) -> tuple[int, int]:
 
 
 def _streams(docs: DataFrame, seed: int) -> DataFrame:
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))))
-    return docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        F.coalesce(docs["source"], F.lit("")).alias("source"),
-        order.alias("place"), F.md5(F.coalesce(docs["text"], F.lit(""))).alias("tie"),
-        F.substring(order, 1, 2).alias("bucket"), n_tokens(docs["text"]).alias("n_tokens"),
-    )
+    """row, source, place (a seeded hash of doc_id and text, so that rows without id are spread as well) and n_tokens."""
+    plain = by_place(docs)
+    doc_id, source, text = (F.col(f"_{place(docs, c)}") for c in ("doc_id", "source", "text"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
+    row = F.struct(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return plain.select(row.alias("row"), F.coalesce(source, F.lit("")).alias("source"), order.alias("place"), n_tokens(text).alias("n_tokens"))
 
 
 def assign_blocks(docs: DataFrame, weights: dict[str, float] | None = None, *, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = SEED, budget: float | None = None) -> DataFrame:
@@ -126,6 +126,7 @@ def assign_blocks(docs: DataFrame, weights: dict[str, float] | None = None, *, b
     None ends at the first missing block."""
     spark = docs.sparkSession
     streams = _streams(docs, seed)
+    streams = streams.withColumn("bucket", F.substring("place", 1, prefix(docs.count())))
     sums = cut(streams.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n")))
     totals = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     stock = {s: -(-n // block_tokens) for s, n in totals.items()}
@@ -135,7 +136,7 @@ def assign_blocks(docs: DataFrame, weights: dict[str, float] | None = None, *, b
     rows = [(s, stock[s], *_permutation(stock[s], seed), q) for s, q in sorted(quotas.items())]
     plan = spark.createDataFrame(rows, "source string, blocks bigint, a bigint, b bigint, quotas array<bigint>")
     starts = sums.withColumn("start", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).join(plan, "source").drop("n")
-    before = F.sum("n_tokens").over(W.partitionBy("source", "bucket").orderBy("place", "tie").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
+    before = F.sum("n_tokens").over(W.partitionBy("source", "bucket").orderBy("place").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
     placed = streams.withColumn("before", before).join(starts, ["source", "bucket"])
     block = F.least(F.floor((F.col("start") + F.col("before")) / block_tokens), F.col("blocks") - 1)
     placed = placed.withColumn("block", block.cast("bigint"))

@@ -3,8 +3,8 @@
 Documents are lengths in tokens.  Full pieces of the capacity are sequences of
 their own; the plan is made on how many remainders have each length, so its
 cost depends on the capacity and not on the number of documents.  Sums of one,
-two and three available lengths are indexed; each length, the longest first,
-consumes combinations that fill its gap exactly, as often as the counts allow.
+two and three lengths are indexed; each length, the longest first, consumes
+combinations that fill its gap exactly, as often as the counts allow.
 What is left is packed best-fit decreasing.  Documents then take the slots of
 their length in a fixed order.
 
@@ -27,36 +27,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, n_tokens
+from .common import n_tokens, pick, prefix, table
 
 CAPACITY = 2048
 
 
 class _Index:
-    """Sums of one, two or three of the lengths that are still available."""
+    """Sums of one, two or three of the lengths: a length is its own sum, pairs are kept by their sum,
+    and a triple is a length beside a pair of its complement.  counts says what is still available."""
 
     def __init__(self, counts: np.ndarray):
         self.left = counts
+        capacity = len(counts) - 1
+        lengths = np.flatnonzero(counts)
+        i, j = np.tril_indices(len(lengths))
+        a, b = lengths[i], lengths[j]  # a >= b
+        fit = a + b < capacity
+        a, b = a[fit], b[fit]
+        by = np.lexsort((-a, a + b))
+        self.a, self.b = a[by].astype(np.int32), b[by].astype(np.int32)
+        self.start = np.searchsorted(self.a + self.b, np.arange(capacity + 1))
 
     def _can(self, *lengths: int) -> int:
         """How often this combination can be taken."""
         return min(self.left[n] // m for n, m in Counter(lengths).items())
 
+    def _pairs(self, total: int, most: int) -> Iterator[tuple[int, int]]:
+        """Available pairs of that sum, of lengths up to most, the longest first."""
+        at = slice(self.start[total], self.start[total + 1])
+        a, b = self.a[at], self.b[at]
+        good = (a <= most) & (self.left[a] > 0) & (self.left[b] > 0)
+        yield from zip(a[good].tolist(), b[good].tolist())
+
     def fillings(self, gap: int) -> Iterator[tuple[int, ...]]:
-        left = self.left
-        if left[gap] > 0:
+        if self.left[gap] > 0:
             yield (gap,)
-        high = np.flatnonzero(left[(gap + 1) // 2 : gap]) + (gap + 1) // 2
-        for a in high[left[gap - high] > 0][::-1]:
-            yield int(a), gap - int(a)
-        for a in np.flatnonzero(left[: gap - 1])[::-1]:  # a >= b >= c
-            rest = gap - int(a)
-            low = (rest + 1) // 2
-            b = np.arange(low, min(int(a), rest - 1) + 1)
-            if len(b):
-                b = b[(left[b] > 0) & (left[rest - b] > 0)]
-                for x in b[::-1]:
-                    yield int(a), int(x), rest - int(x)
+        yield from self._pairs(gap, gap)
+        for a in np.flatnonzero(self.left[: gap - 1])[::-1].tolist():  # a >= b >= c
+            if 3 * a >= gap:
+                for b, c in self._pairs(gap - a, a):
+                    yield a, b, c
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -124,11 +134,11 @@ def _slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 def pack(docs: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """One row for each sequence: pack_id, doc_ids, pieces (doc_id, start and
     number of tokens), n_tokens, gap."""
-    lengths = docs.select(
-        docs["doc_id"].cast("bigint").alias("doc_id"), n_tokens(docs["text"]).alias("n"),
-        F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))).alias("place"),
-    ).where("n > 0").withColumn("length", F.col("n") % capacity)
-    lengths = cut(lengths)
+    given = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    lengths = given.select("doc_id", n_tokens(F.col("text")).alias("n"), F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))).alias("place"))
+    lengths = table(lengths.where("n > 0").withColumn("length", F.col("n") % capacity))
+    # Ranks within a length are counted in buckets of places, so that a frequent length is no task of its own.
+    lengths = lengths.withColumn("bucket", F.substring("place", 1, prefix(lengths.count(), 200_000)))
     counts = {r["length"]: r["count"] for r in lengths.where("length > 0").groupBy("length").count().collect()}  # capacity - 1 rows at most
     slots = docs.sparkSession.sparkContext.broadcast(_slots(plan(counts, capacity)))  # bounded by the capacity, as the plan is
 
@@ -143,7 +153,10 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             pack_id, slot = s["base"][at] + nth // s["per"][at], s["slot"][at] + nth % s["per"][at]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": batch.column("n"), "length": batch.column("length"), "pack": pa.array(pack_id), "slot": pa.array(slot)})
 
-    ranked = lengths.withColumn("rank", F.row_number().over(W.partitionBy("length").orderBy("place", "n")).cast("bigint") - 1)
+    starts = lengths.groupBy("length", "bucket").agg(F.count("*").alias("here"))
+    starts = starts.select("length", "bucket", (F.sum("here").over(W.partitionBy("length").orderBy("bucket")) - F.col("here")).alias("first"))
+    nth = F.row_number().over(W.partitionBy("length", "bucket").orderBy("place", "n")).cast("bigint") - 1
+    ranked = lengths.withColumn("nth", nth).join(starts, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("nth"))
     parts = ranked.where("length > 0").select("doc_id", "n", "length", "rank").mapInArrow(place, "doc_id bigint, n bigint, length bigint, pack bigint, slot bigint")
     piece = F.struct("slot", "doc_id", (F.col("n") - F.col("length")).alias("start"), F.col("length").alias("n_tokens"))
     packed = parts.groupBy("pack").agg(F.sort_array(F.collect_list(piece)).alias("p"), F.sum("length").alias("n_tokens"))

@@ -35,7 +35,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.fit_and_score_pieces(read(spark, sf_dir, "documents"))
+    return katz.fit_and_score(read(spark, sf_dir, "documents"))
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +62,8 @@ def queries() -> dict[str, Query]:
 
 _MIXING = rf"""
 WITH s AS (
-  SELECT doc_id, coalesce(source, '') AS source, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS place,
-         md5(coalesce(text, '')) AS tie, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f]+'))::BIGINT AS n
+  SELECT doc_id, coalesce(source, '') AS source, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS place,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f]+'))::BIGINT AS n
   FROM documents),
 t AS (
   SELECT source, ceil(sum(n) / {mixing.BLOCK_TOKENS}.0)::BIGINT AS blocks, sqrt(sum(n)::DOUBLE) AS w
@@ -77,7 +77,7 @@ dealt AS (SELECT source, i, len(list_filter(range(1, {mixing.SHARDS + 1}), lambd
 turned AS (
   SELECT *, (SELECT min(a) FROM (SELECT unnest(range(blocks * 5 // 8 + 1, 2 * blocks + 2)) AS a) WHERE gcd(a, blocks) = 1) AS a FROM t),
 streams AS (
-  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY place, tie ROWS UNBOUNDED PRECEDING)::BIGINT - n AS before FROM s),
+  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY place ROWS UNBOUNDED PRECEDING)::BIGINT - n AS before FROM s),
 placed AS (
   SELECT doc_id, p.source, n, least(before // {mixing.BLOCK_TOKENS}, blocks - 1)::BIGINT AS block, a, blocks
   FROM streams p JOIN turned ON p.source = turned.source)
@@ -92,7 +92,7 @@ WITH RECURSIVE r AS (
 m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS msg_id FROM r),
 p AS (
   SELECT m.conv_id, m.msg_id, max(x.msg_id) AS parent_id, any_value(length(m.text)::DOUBLE) AS score,
-         any_value('<|' || m.role || '|>' || chr(10) || replace(m.text, '<|', '< |') || chr(10)) AS body
+         any_value('<|' || replace(replace(m.role, '<|', '< |'), '|>', '| >') || '|>' || chr(10) || replace(m.text, '<|', '< |') || chr(10)) AS body
   FROM m LEFT JOIN m x ON x.conv_id = m.conv_id AND x.msg_id < m.msg_id AND x.role <> m.role
   GROUP BY m.conv_id, m.msg_id),
 t AS (

@@ -9,8 +9,8 @@ Defined cases: rows without conversation or message id are left out; of rows
 that share both, the least (parent, role, text) stands; a parent that isn't
 there, or null, makes a root; messages on or below a cycle of replies are in
 no path; a null role is 'unknown', a null text is empty, a null score 0; ties
-of score are ranked by the leaf's id; text that looks like a turn mark is
-broken up by a space.
+of score are ranked by the leaf's id; what looks like a turn mark in a text or
+a role is broken up by a space.
 Texts of any length stand whole; an empty table has no path; other columns are
 not looked at.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, pick
 
 
 def paths(messages: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def format_trees(messages: DataFrame, *, branches: int | None = None) -> DataFra
     chosen path: conv_id, leaf_id, branch (its rank), score, n_turns, path, text.
 
     branches: how many of each conversation's paths to keep, all by default."""
-    m = messages.where("conv_id is not null and msg_id is not null")
+    m = pick(messages, "conv_id", "msg_id", "parent_id", "role", "text", "score").where("conv_id is not null and msg_id is not null")
     m = m.groupBy(m["conv_id"].cast("bigint").alias("conv_id"), m["msg_id"].cast("bigint").alias("msg_id")).agg(F.min(F.struct(
         m["parent_id"].cast("bigint").alias("parent_id"), F.coalesce(m["role"], F.lit("unknown")).alias("role"), F.coalesce(m["text"], F.lit("")).alias("text"), m["score"].cast("double").alias("score"),
     )).alias("m")).select("conv_id", "msg_id", "m.*")
@@ -65,7 +65,8 @@ def format_trees(messages: DataFrame, *, branches: int | None = None) -> DataFra
     if branches is not None:
         found = found.where(F.col("branch") <= branches)
     turns = found.select("conv_id", "leaf_id", "branch", "score", "path", F.posexplode("path").alias("pos", "msg_id"))
-    body = F.concat(F.lit("<|"), "role", F.lit("|>\n"), F.replace("text", F.lit("<|"), F.lit("< |")), F.lit("\n"))
+    role = F.replace(F.replace("role", F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+    body = F.concat(F.lit("<|"), role, F.lit("|>\n"), F.replace("text", F.lit("<|"), F.lit("< |")), F.lit("\n"))
     turns = turns.join(m.select("conv_id", "msg_id", body.alias("body")), ["conv_id", "msg_id"])
     whole = turns.groupBy("conv_id", "leaf_id").agg(
         F.first("branch").alias("branch"), F.first("score").alias("score"), F.first("path").alias("path"),
@@ -79,7 +80,7 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     latest earlier one of another role, so consecutive turns of one role are
     branches.  Rows that share a turn are alternatives, told apart by role and
     text.  A message's score is its length in characters."""
-    c = conversations
+    c = pick(conversations, "conv_id", "turn", "role", "text")
     rows = c.where(c["conv_id"].isNotNull() & c["turn"].isNotNull()).select(
         c["conv_id"].cast("bigint").alias("conv_id"), c["turn"].alias("turn"), F.coalesce(c["role"], F.lit("unknown")).alias("role"), F.coalesce(c["text"], F.lit("")).alias("text")
     ).distinct()
