@@ -10,11 +10,13 @@ languages there is 'und', under which any character is as likely; a document
 of which it has the largest share has no known language.
 
 The models are fitted on a bounded sample: the `sample` labelled documents of
-each language with the least hash of doc_id.
+each language with the least hashes of doc_id and text; repeated rows count as
+one.  EM goes on for each document until no share changes by more than TOLERANCE.
 
 Defined cases: a document without letters (null, empty, digits) has language
 'und' and no proportions; a null lang is not trained on; without any labelled
-document all are 'und'; every row gives one row.
+document all are 'und'; every row gives one row; of equal shares the language
+that is first by name leads ('und' is last), and of equal losses is dropped first.
 Texts of any length are read whole; an empty table gives none; other columns are
 not looked at, and the filter carries them along.
 """
@@ -32,9 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import by_place, pick, place
 from .textvec import chunks
 
-SAMPLE, PENALTY, ROUNDS = 200, 3.0, 6
+SAMPLE, PENALTY, TOLERANCE = 200, 3.0, 2e-3
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -112,36 +115,41 @@ class Model:
 _CHAR, _PAIR = (1 << 21) - 1, (1 << 42) - 1
 
 
-def _expect(p: np.ndarray, times: np.ndarray, share: np.ndarray, sizes: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM rounds on the shares of each document (languages x documents); log-likelihoods under the last ones.
+def _expect(p: np.ndarray, times: np.ndarray, share: np.ndarray, sizes: np.ndarray, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """EM from these shares of each document (languages x documents), until none changes by more than the tolerance; log-likelihoods.
 
     p: of different words (languages x words), which occur so many times; sizes: different words of each document."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    total = np.add.reduceat(times, starts)
-    used = [j for j in range(len(p)) if share[j].any()]
-    share = share.astype(np.float32)
-
-    def mixed() -> np.ndarray:
-        out = np.full(p.shape[1], 1e-38, np.float32)
-        for j in used:
-            out += p[j] * share[j][doc]
-        return out
-
-    for _ in range(rounds):
-        weight = times / mixed()
-        share = share.copy()
-        for j in used:
-            share[j] *= np.add.reduceat(p[j] * weight, starts) / total
-    return share, np.add.reduceat(times * np.log(mixed()), starts)
-
-
-def infer(p: np.ndarray, times: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> np.ndarray:
+    share, likelihood = share.astype(np.float32), np.zeros(len(sizes))
+    docs = np.arange(len(sizes))  # not yet converged; their words are p, times, doc
+    while True:
+        doc, starts = np.repeat(np.arange(len(docs)), sizes), np.r_[0, np.cumsum(sizes)[:-1]]
+        total = np.add.reduceat(times, starts)
+        moving = np.ones(len(docs), bool)
+        used = [j for j in range(len(p)) if share[j, docs].any()]
+        while moving.mean() > 0.6:
+            mixed = np.full(p.shape[1], 1e-38, np.float32)
+            for j in used:
+                mixed += p[j] * share[j, docs][doc]
+            likelihood[docs[moving]] = np.add.reduceat(times * np.log(mixed), starts)[moving]
+            weight = times / mixed
+            change = np.zeros(len(docs), np.float32)
+            for j in used:
+                after = share[j, docs] * np.add.reduceat(p[j] * weight, starts) / total
+                change = np.maximum(change, np.abs(after - share[j, docs]))
+                share[j, docs[moving]] = after[moving]
+            moving &= change > tolerance
+        if not moving.any():
+            return share, likelihood
+        words = moving[doc]
+        docs, sizes, p, times = docs[moving], sizes[moving], p[:, words], times[words]
+
+
+def infer(p: np.ndarray, times: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY, tolerance: float = TOLERANCE) -> np.ndarray:
     """Shares of the languages in each document (documents x languages), 0 where not selected; arguments as in _expect.
 
-    The language of the least share is dropped while that loses less likelihood than the penalty of a language."""
+    Languages are dropped, each time the one that is missed least, while that loses less likelihood than the penalty of a language."""
     n, (starts, docs) = len(p), (np.r_[0, np.cumsum(sizes)[:-1]], np.arange(len(sizes)))
-    share, best = _expect(p, times, np.full((n, len(sizes)), 1 / n), sizes, rounds)
+    share, best = _expect(p, times, np.full((n, len(sizes)), 1 / n), sizes, tolerance)
     gain = penalty * 0.5 * np.log(np.add.reduceat(times, starts) + 1.0)
     top = share.argmax(axis=0)
     alone = np.add.reduceat(times * np.log(np.maximum(p[np.repeat(top, sizes), np.arange(p.shape[1])], 1e-38)), starts)
@@ -150,28 +158,38 @@ def infer(p: np.ndarray, times: np.ndarray, sizes: np.ndarray, penalty: float =
     share[:, single] = 0
     share[top[single], docs[single]] = 1
     active = docs[~single]
-    while len(active):
-        trial = share[:, active]
-        least = np.where(trial > 0, trial, np.inf).argmin(axis=0)
-        trial[least, np.arange(len(active))] = 0
-        trial /= trial.sum(axis=0)
-        words = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in active])
-        trial, ll = _expect(p[:, words], times[words], trial, sizes[active], 3)
-        better = ll + gain[active] >= best[active]
-        active, trial, ll = active[better], trial[:, better], ll[better]
-        share[:, active], best[active] = trial, ll
-        active = active[(trial > 0).sum(axis=0) > 1]
+    while len(active):  # of each document's languages the one goes whose loss is least, if it is under a penalty
+        most, after = np.full(len(active), -np.inf), share[:, active].copy()
+        for j in range(n):
+            with_j = np.flatnonzero(share[j, active] > 0)
+            trial = share[:, active[with_j]].copy()
+            trial[j] = 0
+            left = trial.sum(axis=0) > 0
+            with_j, trial = with_j[left], trial[:, left]
+            if not len(with_j):
+                continue
+            d = active[with_j]
+            words = np.concatenate([np.arange(starts[x], starts[x] + sizes[x]) for x in d])
+            trial, ll = _expect(p[:, words], times[words], trial / trial.sum(axis=0), sizes[d], tolerance)
+            better = ll > most[with_j]
+            most[with_j[better]], after[:, with_j[better]] = ll[better], trial[:, better]
+        gone = most + gain[active] >= best[active]
+        active, after, most = active[gone], after[:, gone], most[gone]
+        share[:, active], best[active] = after, most
+        active = active[(after > 0).sum(axis=0) > 1]
     return share.T.astype(np.float64)
 
 
 def fit(docs: DataFrame, *, sample: int = SAMPLE) -> Model | None:
     """Models of the languages in lang, from a bounded sample; None without labelled rows."""
-    named = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["lang"].alias("lang"), docs["text"].alias("text"), F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))).alias("h"))
-    ids = named.select("lang", "h").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample)
-    limits = ids.groupBy("lang").agg(F.max("h").alias("most"))
+    named = pick(docs, "doc_id", "lang", "text").where("lang is not null and text is not null")
+    named = named.select("lang", "text", F.struct(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.xxhash64("text").alias("t")).alias("at"))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("at"))
+    limits = named.select("lang", "at").withColumn("n", nth).where(F.col("n") <= sample).groupBy("lang").agg(F.max("at").alias("most"))
+    # A row for each language; rows of equal hashes are repeats of one, so no more than the sample comes to the driver.
+    chosen = named.join(F.broadcast(limits), "lang").where("at <= most").groupBy("lang", "at").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = defaultdict(list)
-    # A row for each language; the sample is what comes to the driver.
-    for r in named.join(F.broadcast(limits), "lang").where("h <= most").select("lang", "text").collect():
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["at"])):
         texts[r["lang"]].append(r["text"])
     return Model(texts) if texts else None
 
@@ -179,7 +197,7 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE) -> Model | None:
 def identify(docs: DataFrame, model: Model | None = None, *, sample: int = SAMPLE, penalty: float = PENALTY) -> DataFrame:
     """One row for each row: doc_id, language (the largest share), languages
     and proportions (largest first), n_words, known (language is not 'und')."""
-    return _identify(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")), model or fit(docs, sample=sample), penalty, ["doc_id"])
+    return _identify(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model or fit(docs, sample=sample), penalty, ["doc_id"])
 
 
 def keep_known(docs: DataFrame, *, sample: int = SAMPLE, penalty: float = PENALTY) -> DataFrame:
@@ -256,7 +274,7 @@ def _identify(docs: DataFrame, model: Model | None, penalty: float, keys: list[s
 
 def _filter(docs: DataFrame, model: Model | None, penalty: float) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = [c.lower() for c in docs.columns].index("text")
+    at = place(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         over = _over(held.value, penalty)
@@ -267,4 +285,5 @@ def _filter(docs: DataFrame, model: Model | None, penalty: float) -> DataFrame:
                 known += list((sizes > 0) & (shares.argmax(axis=1) < shares.shape[1] - 1))
             yield batch.filter(pa.array(known, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = by_place(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
