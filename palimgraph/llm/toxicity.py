@@ -3,17 +3,20 @@
 Features are words and word beginnings that occur at least once, twice, three or
 five times in a text; those that go with the toxic label are selected by their
 log-odds.  In labelled sentences that hold an identity term the term is
-swapped for others (where no sentence holds one, terms are inserted), and the
-squared change of the score is penalised, so that a neutral mention of a group
-doesn't raise it however often toxic texts mention that group.
+swapped for others (where no sentence holds one, terms are added to each text),
+and the squared change of the score is penalised, so that a neutral mention of
+a group doesn't raise it however often toxic texts mention that group.
 
 The classifier is fitted on a bounded sample: the `sample` labelled documents
-with the least hash of doc_id.  Scoring reads every text whole.
+with the least hash of doc_id, and all swaps in all their sentences.  It has
+the `features` features that go most with the label, which regularises it.
+Scoring reads every text whole.
 
 Defined cases: a null or empty text is not toxic (its score is the
 intercept's); a label that is null or of an absent document is not used;
-repeated labels of a document count once, toxic if any is; without both labels
-nothing is toxic; every row gives one row.
+repeated labels of a document count once, toxic if any is; of different texts
+with one doc_id the least is learnt from; without both labels nothing is
+toxic; every row gives one row; features of equal log-odds are taken by name.
 Texts of any length are scored whole; a null doc_id stays null; an empty table
 gives no rows; other columns are carried along by the filter.
 """
@@ -29,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, MAX_FEATURES, LEAST_Z, LEVELS, PREFIXES = 6000, 1024, 3.5, (1, 2, 3, 5), (4, 5, 6, 7, 8)
+from .common import by_place, pick, place
+
+SAMPLE, FEATURES, LEAST_Z, LEVELS, PREFIXES = 6000, 1024, 3.5, (1, 2, 3, 5), (4, 5, 6, 7, 8)
 RIDGE, SWAP_WEIGHT, THRESHOLD = 0.1, 10.0, 0.3
 IDENTITY_TERMS = tuple(
     "women men woman man black white asian african european american muslim christian jewish hindu buddhist atheist gay lesbian bisexual transgender straight disabled blind deaf elderly young immigrant refugee".split()
@@ -102,7 +107,7 @@ def _bags(texts: Iterable[str | None], known: dict[str, int]) -> list[dict[int,
     return out
 
 
-def _select(texts: list[str | None], toxic: np.ndarray, terms: Iterable[str]) -> list[tuple[str, int]]:
+def _select(texts: list[str | None], toxic: np.ndarray, terms: Iterable[str], most: int) -> list[tuple[str, int]]:
     """Features whose presence goes with the label; of features in just the
     same documents the most specific stays; identity terms are always in."""
     often: Counter = Counter()  # only what several toxic documents hold can be selected
@@ -127,86 +132,123 @@ def _select(texts: list[str | None], toxic: np.ndarray, terms: Iterable[str]) ->
             key, rank = np.array(at).tobytes(), (grams[j][0] == "=", len(grams[j]), -level)
             if key not in best or rank > best[key][1]:
                 best[key] = (float(z), rank, (grams[j], level))
-    chosen = [f for _, _, f in sorted(best.values(), key=lambda x: (-x[0], x[2]))[:MAX_FEATURES]]
+    chosen = [f for _, _, f in sorted(best.values(), key=lambda x: (-x[0], x[2]))[:most]]
     held = set(chosen)
     return chosen + [("=" + t, 1) for t in terms if ("=" + t, 1) not in held]
 
 
-def swaps(texts: Iterable[str], terms: tuple[str, ...], most: int = 4000) -> Iterator[tuple[str, str]]:
-    """Pairs of a sentence and its counterfactual, for the first so many sentences with a term.
-    Where none has one, a term is inserted in the first so many sentences of any kind."""
-    known, made = set(terms), 0
-    for insert in (False, True):
-        if made or not terms:
-            return
-        for text in texts:
-            for sentence in _SENTENCE.findall(text or ""):
-                words = sentence.split()
-                low = [w.lower().strip(",;:\"'()") for w in words]
-                spots = [i for i, w in enumerate(low) if w in known]
-                if insert and words:
-                    a, b = terms[made % len(terms)], terms[(made * 7 + 3) % len(terms)]
-                    yield f"{sentence} {a}", f"{sentence} {b}"
-                    yield sentence, f"{sentence} {a}"
-                    made += 1
-                for i in [] if insert else spots:
-                    for step in (1, 5, 11):
-                        other = terms[(terms.index(low[i]) + step) % len(terms)]
-                        yield sentence, " ".join([*words[:i], other, *words[i + 1 :]])
+def swaps(texts: Iterable[str | None], terms: tuple[str, ...]) -> Iterator[tuple[Counter, list[str], list[str]]]:
+    """Each swap: the words of a sentence, those that it loses and those that it gets instead.
+
+    Where no sentence has a term, each text gets one, and one of two; the terms take turns."""
+    known, made = {t: i for i, t in enumerate(terms)}, 0
+    texts = list(texts)
+    for text in texts:
+        for sentence in _SENTENCE.findall((text or "").lower()):
+            words = _WORD.findall(sentence)
+            spots = [w for w in words if w in known]
+            bag = Counter(words) if spots else None
+            for w in spots:
+                for step in (1, 5, 11):
                     made += 1
-                if made >= most:
-                    return
+                    yield bag, [w], [terms[(known[w] + step) % len(terms)]]
+    if terms and not made:
+        for i, text in enumerate(texts):
+            bag = Counter(_WORD.findall((text or "").lower()))
+            a, b = terms[i % len(terms)], terms[(i * 7 + 3) % len(terms)]
+            yield bag, [], [a]
+            yield bag + Counter([a]), [a], [b]
+
+
+def _changes(found: Iterable[tuple[Counter, list[str], list[str]]], names: dict[str, int], column: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The different changes of the features (rows of +1, 0 and -1), how many swaps make each, and how many swaps there are.
+
+    Only features of the words swapped can change, so a swap costs as much as these, whatever the sentence."""
+    of: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for f, (j, level) in enumerate(zip(column.tolist(), least.tolist())):
+        of[j].append((f, level))
+    hits = lambda w: [names[g] for g in _grams(w) if g in names]
+    times: Counter = Counter()
+    total, bag_of, held = 0, None, Counter()
+    for bag, lost, got in found:
+        total += 1
+        if bag is not bag_of:
+            bag_of, held = bag, Counter()
+            for w, n in bag.items():
+                for j in hits(w):
+                    held[j] += n
+        move: Counter = Counter()
+        for ws, sign in ((lost, -1), (got, 1)):
+            for w in ws:
+                for j in hits(w):
+                    move[j] += sign
+        change = tuple((f, int(held[j] + m >= level) - int(held[j] >= level)) for j, m in sorted(move.items()) if m for f, level in of[j] if (held[j] + m >= level) != (held[j] >= level))
+        times[change] += 1
+    times.pop((), None)
+    rows = np.zeros((len(times), len(column)), np.float32)
+    for i, change in enumerate(times):
+        for f, v in change:
+            rows[i, f] = v
+    return rows, np.array(list(times.values()), np.float32), total
+
+
+def objective(w: np.ndarray, x: np.ndarray, toxic: np.ndarray, extra: np.ndarray) -> float:
+    """What the weights minimise: the logistic loss, the ridge and the swaps' squared changes (in extra)."""
+    z = x @ w
+    return float(np.sum(np.logaddexp(0, z) - toxic * z) + 0.5 * w @ extra @ w)
+
+
+def _design(texts: list[str | None], labels: list[int], terms: tuple[str, ...], swap_weight: float, most: int) -> tuple[list[tuple[str, int]], np.ndarray, np.ndarray, np.ndarray]:
+    """Features, their matrix with a column for the intercept, labels, and the quadratic penalty."""
+    toxic = np.array(labels, np.float64)
+    features = _select(texts, toxic, terms, most)
+    names = {g: j for j, g in enumerate(sorted({g for g, _ in features}))}
+    column, least = np.array([names[g] for g, _ in features]), np.array([level for _, level in features])
+    counts = np.zeros((len(texts), len(names)), np.int32)
+    for i, bag in enumerate(_bags(texts, names)):
+        for j, n in bag.items():
+            counts[i, j] = n
+    x = np.c_[(counts[:, column] >= least).astype(np.float32), np.ones(len(texts), np.float32)]
+    extra = np.diag(np.r_[np.full(len(features), RIDGE), 1e-3]).astype(np.float64)
+    rows, times, total = _changes(swaps(texts, terms), names, column, least)
+    if total and swap_weight:
+        extra[:-1, :-1] += swap_weight * len(texts) / total * ((rows.T * times) @ rows)
+    return features, x, toxic, extra
 
 
-def train(texts: list[str | None], labels: list[int], *, terms: tuple[str, ...] = IDENTITY_TERMS, swap_weight: float = SWAP_WEIGHT) -> Classifier | None:
+def train(texts: list[str | None], labels: list[int], *, terms: tuple[str, ...] = IDENTITY_TERMS, swap_weight: float = SWAP_WEIGHT, features: int = FEATURES) -> Classifier | None:
     """None unless both labels occur."""
-    toxic = np.array(labels, float)
-    if not len(toxic) or toxic.min() == toxic.max():
+    if not len(labels) or min(labels) == max(labels):
         return None
-    features = _select(texts, toxic, terms)
-    names = {g: j for j, g in enumerate(sorted({g for g, _ in features}))}
-    column, least = np.array([names[g] for g, _ in features]), np.array([level for _, level in features])
-
-    def matrix(texts: Iterable[str | None]) -> np.ndarray:
-        bags = _bags(texts, names)
-        counts = np.zeros((len(bags), len(names)), np.int32)
-        for i, bag in enumerate(bags):
-            for j, n in bag.items():
-                counts[i, j] = n
-        return (counts[:, column] >= least).astype(np.float32)
-
-    x = np.c_[matrix(texts), np.ones(len(texts), np.float32)]
-    before, after = zip(*found) if (found := list(swaps(texts, terms))) else ((), ())
-    pairs = matrix(after) - matrix(before)
-    ridge = np.full(len(features) + 1, RIDGE, np.float32)
-    ridge[-1] = 1e-3
-    extra = np.diag(ridge)
-    if len(pairs) and swap_weight:
-        extra[:-1, :-1] += swap_weight * len(texts) / len(pairs) * (pairs.T @ pairs)
-    w = np.zeros(len(features) + 1, np.float32)
-    for _ in range(12):  # Newton
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - toxic.astype(np.float32)) + extra @ w
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + extra, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-3:
+    names, x, toxic, extra = _design(texts, labels, terms, swap_weight, features)
+    w = np.zeros(len(names) + 1)
+    now = objective(w, x, toxic, extra)
+    while True:  # Newton, halving steps that don't lower the objective
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        gradient = x.T @ (p - toxic) + extra @ w
+        step = np.linalg.solve(((x.T * (p * (1 - p)).astype(np.float32)) @ x).astype(np.float64) + extra, gradient)
+        while (after := objective(w - step, x, toxic, extra)) > now and np.abs(step).max() > 1e-6:
+            step /= 2
+        if not after < now - 1e-9 * abs(now):
             break
-    return Classifier({f: float(v) for f, v in zip(features, w[:-1]) if v}, float(w[-1]))
+        w, now = w - step, after
+    return Classifier({f: float(v) for f, v in zip(names, w[:-1]) if v}, float(w[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **options) -> Classifier | None:
     """The classifier of the labelled documents in the sample."""
     order = F.md5(F.col("doc_id").cast("string"))
-    known = labels.where(labels["doc_id"].isNotNull() & labels["toxic"].isNotNull()).groupBy(labels["doc_id"].cast("bigint").alias("doc_id")).agg(F.max(labels["toxic"]).alias("toxic"))
+    known = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(order, "doc_id").limit(sample)  # ids and labels only: the sample's bound is the broadcast's
-    texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic").collect()
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    rows.sort(key=lambda r: r["doc_id"])  # the classifier doesn't depend on the order that rows come in
     return train([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows], **options)
 
 
 def scores(docs: DataFrame, classifier: Classifier | None, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row: doc_id, score, toxic."""
-    held = docs.sparkSession.sparkContext.broadcast(classifier)  # MAX_FEATURES weights at most
+    held = docs.sparkSession.sparkContext.broadcast(classifier)  # as many weights as features, which are bounded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
@@ -214,7 +256,7 @@ def scores(docs: DataFrame, classifier: Classifier | None, *, threshold: float =
             s = np.array([c.score(t) if c else 0.0 for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(s, pa.float64()), "toxic": pa.array(s >= threshold, pa.bool_())})
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id bigint, score double, toxic boolean")
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, toxic boolean")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -225,7 +267,7 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = TH
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows not found toxic, with their own columns."""
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
-    at = [c.lower() for c in docs.columns].index("text")
+    at = place(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = held.value
@@ -233,4 +275,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHO
             keep = [not c or c.score(t) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = by_place(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
