@@ -10,8 +10,12 @@ licence to weak when the exception is a known linking exception.  A notice that
 reserves all rights, or claims copyright, and no more makes a text proprietary;
 beside a licence it takes nothing away, as licences' own headers hold it.
 
+A family's notice ('GNU General Public License') names the version that follows
+it; without one, or with one that there isn't, the family's usual version.
+
 Defined cases: a null or empty text has no licences (class 'none'); a tag with
-a malformed expression, or an unknown name, is of class 'unknown'; every row
+a malformed expression, or an unknown name, is of class 'unknown', the tag NONE
+of class 'none'; a licence named twice counts once; every row
 of the table gives one row, repeated or without id alike.
 Texts of any length are scanned whole; a null doc_id stays null; an empty table
 gives no rows; other columns are not looked at.
@@ -24,17 +28,33 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import pick
 
 #: From the most permissive to the strictest.
 CLASSES = ("none", "public-domain", "permissive", "weak-copyleft", "copyleft", "network-copyleft", "non-commercial", "proprietary", "unknown")
 NAMES = {
-    "public-domain": "CC0-1.0 Unlicense 0BSD PDDL-1.0 WTFPL",
-    "permissive": "MIT MIT-0 Apache-2.0 Apache-1.1 BSD-2-Clause BSD-3-Clause BSD-4-Clause ISC Zlib BSL-1.0 PSF-2.0 Python-2.0 CC-BY-3.0 CC-BY-4.0 X11 NCSA PostgreSQL OFL-1.1 Artistic-2.0 Unicode-DFS-2016",
-    "weak-copyleft": "LGPL-2.0 LGPL-2.1 LGPL-3.0 MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 CDDL-1.1 MS-PL",
-    "copyleft": "GPL-1.0 GPL-2.0 GPL-3.0 CC-BY-SA-3.0 CC-BY-SA-4.0 EUPL-1.2 OSL-3.0 MS-RL",
-    "network-copyleft": "AGPL-1.0 AGPL-3.0 SSPL-1.0 RPL-1.5",
-    "non-commercial": "CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0 CC-BY-ND-3.0 CC-BY-ND-4.0 BUSL-1.1",
-    "proprietary": "All-Rights-Reserved Copyright-Notice",
+    "public-domain": "CC0-1.0 CC-PDDC Unlicense 0BSD PDDL-1.0 WTFPL SAX-PD libtiff-PD NIST-PD NIST-PD-fallback blessing LZMA-SDK-9.22",
+    "permissive": """MIT MIT-0 MIT-CMU MIT-Modern-Variant MIT-Wu MIT-advertising MIT-enna MIT-feh MIT-open-group MITNFA X11 X11-distribute-modifications-variant ISC ISC-Veillard Zlib zlib-acknowledgement libpng
+        libpng-2.0 Libpng NCSA Apache-1.0 Apache-1.1 Apache-2.0 BSD-1-Clause BSD-2-Clause BSD-2-Clause-Patent BSD-2-Clause-Views BSD-3-Clause BSD-3-Clause-Attribution BSD-3-Clause-Clear BSD-3-Clause-LBNL
+        BSD-3-Clause-Modification BSD-3-Clause-Open-MPI BSD-4-Clause BSD-4-Clause-Shortened BSD-4-Clause-UC BSD-Protection BSD-Source-Code BSL-1.0 BlueOak-1.0.0 PSF-2.0 Python-2.0 Python-2.0.1 CNRI-Python
+        PostgreSQL PHP-3.0 PHP-3.01 Ruby-pty Artistic-2.0 AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 AML Adobe-2006 Adobe-Glyph Afmparse Beerware Bahyph Borceux bzip2-1.0.5 bzip2-1.0.6 CC-BY-1.0 CC-BY-2.0
+        CC-BY-2.5 CC-BY-3.0 CC-BY-4.0 CDLA-Permissive-1.0 CDLA-Permissive-2.0 Crossword curl DOC DSDP ECL-1.0 ECL-2.0 EFL-1.0 EFL-2.0 Entessa FSFAP FSFUL FSFULLR FTL Fair Giftware HPND HPND-sell-variant HTMLTIDY
+        IBM-pibs ICU IJG ImageMagick Info-ZIP Intel JasPer-2.0 Leptonica Linux-OpenIB MirOS MS-PL MulanPSL-1.0 MulanPSL-2.0 Multics NAIST-2003 NTP Naumen Net-SNMP NetCDF Newsletr OFL-1.0 OFL-1.1 OGTSL OLDAP-2.8
+        OML OpenSSL ODC-By-1.0 OGL-UK-1.0 OGL-UK-2.0 OGL-UK-3.0 Plexus PIL Rdisc RSA-MD SGI-B-2.0 SMLNJ SSH-OpenSSH SSH-short SWL Spencer-86 Spencer-94 Spencer-99 StandardML-NJ TCL TCP-wrappers TU-Berlin-1.0
+        TU-Berlin-2.0 UPL-1.0 Unicode-3.0 Unicode-DFS-2015 Unicode-DFS-2016 Unicode-TOU VSL-1.0 W3C W3C-19980720 W3C-20150513 Wsuipa Xerox Xnet XFree86-1.1 Xdebug-1.03 ZPL-1.1 ZPL-2.0 ZPL-2.1 Zed Zend-2.0 diffmark
+        dvipdfm eGenix gnuplot mpich2 psfrag psutils xinetd xpp""",
+    "weak-copyleft": """LGPL-2.0 LGPL-2.1 LGPL-3.0 LGPLLR MPL-1.0 MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception EPL-1.0 EPL-2.0 CDDL-1.0 CDDL-1.1 CPL-1.0 IPL-1.0 APSL-1.0 APSL-1.1 APSL-1.2 APSL-2.0 ErlPL-1.1
+        NPL-1.0 NPL-1.1 SPL-1.0 Artistic-1.0 Artistic-1.0-Perl Artistic-1.0-cl8 ClArtistic LPPL-1.0 LPPL-1.1 LPPL-1.2 LPPL-1.3a LPPL-1.3c QPL-1.0 CeCILL-C CERN-OHL-W-2.0 OCLC-2.0 SISSL Nokia MotosotoA gSOAP-1.3b
+        Interbase-1.0 CATOSL-1.1 BitTorrent-1.0 BitTorrent-1.1 Condor-1.1 LPL-1.0 LPL-1.02 NOSL Ruby YPL-1.1 Vim ODbL-1.0""",
+    "copyleft": """GPL-1.0 GPL-2.0 GPL-3.0 GPL-2.0-with-GCC-exception GFDL-1.1 GFDL-1.2 GFDL-1.3 CC-BY-SA-1.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0 EUPL-1.0 EUPL-1.1 EUPL-1.2 OSL-1.0 OSL-1.1 OSL-2.0
+        OSL-2.1 OSL-3.0 MS-RL CeCILL-1.0 CeCILL-1.1 CeCILL-2.0 CeCILL-2.1 CERN-OHL-S-2.0 CDLA-Sharing-1.0 C-UDA-1.0 Sleepycat CPOL-1.02 LAL-1.2 LAL-1.3 FreeImage RSCPL Watcom-1.0 SimPL-2.0 copyleft-next-0.3.1""",
+    "network-copyleft": "AGPL-1.0 AGPL-3.0 SSPL-1.0 RPL-1.1 RPL-1.5 CPAL-1.0 CAL-1.0 CAL-1.0-Combined-Work-Exception Parity-6.0.0 Parity-7.0.0 Watcom-2.0",
+    "non-commercial": " ".join(
+        f"CC-BY-{kind}-{version}" for kind in ("NC", "NC-SA", "NC-ND", "ND") for version in ("1.0", "2.0", "2.5", "3.0", "4.0")
+    ) + " CC-BY-NC-SA-2.0-FR CC-BY-NC-SA-2.0-UK BUSL-1.1 PolyForm-Noncommercial-1.0.0 PolyForm-Small-Business-1.0.0 Elastic-2.0 JSON Hippocratic-2.1 TAPR-OHL-1.0 Aladdin NCGL-UK-2.0 OPUBL-1.0",
+    "proprietary": "All-Rights-Reserved Copyright-Notice LicenseRef-Proprietary",
 }
 CLASS_OF = {n.lower(): (n, c) for c, ns in NAMES.items() for n in ns.split()}
 LINKING = {x.lower() for x in "Classpath-exception-2.0 GCC-exception-3.1 GCC-exception-2.0 Bison-exception-2.2 Autoconf-exception-3.0 LLVM-exception Linux-syscall-note Font-exception-2.0 OpenJDK-assembly-exception-1.0 Qt-GPL-exception-1.0".split()}
@@ -47,15 +67,8 @@ PHRASES = {
     "released under the mit license": "MIT",
     "licensed under the mit license": "MIT",
     "permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
-    "licensed under the gnu general public license, version 3": "GPL-3.0",
-    "licensed under the gnu general public license, version 2": "GPL-2.0",
-    "gnu general public license as published by the free software foundation": "GPL-2.0",
-    "licensed under the gnu lesser general public license": "LGPL-3.0",
-    "licensed under the gnu affero general public license": "AGPL-3.0",
     "redistribution and use in source and binary forms": "BSD-3-Clause",
     "licensed under the bsd license": "BSD-3-Clause",
-    "subject to the terms of the mozilla public license, v. 2.0": "MPL-2.0",
-    "licensed under the eclipse public license": "EPL-2.0",
     "permission to use, copy, modify, and/or distribute this software for any purpose": "ISC",
     "this is free and unencumbered software released into the public domain": "Unlicense",
     "dedicated to the public domain": "CC0-1.0",
@@ -96,7 +109,21 @@ PHRASES = {
     "copyright (c)": "Copyright-Notice",
     "copyright ©": "Copyright-Notice",
 }
-TAGS = ("spdx-license-identifier:",)
+#: Families that are named by a phrase and, within VERSION_WITHIN characters, a version; the second is for a mention without one,
+#: which leaves the choice to whoever uses the text, so the most permissive version stands.  Where the text offers a choice
+#: ('version 2 or later'), the first version named counts.
+FAMILIES = {
+    "gnu general public license": ("GPL", "2.0"), "gnu gpl": ("GPL", "2.0"), "gnu lesser general public license": ("LGPL", "2.1"), "gnu library general public license": ("LGPL", "2.0"),
+    "gnu lgpl": ("LGPL", "2.1"), "gnu affero general public license": ("AGPL", "3.0"), "gnu agpl": ("AGPL", "3.0"), "gnu free documentation license": ("GFDL", "1.3"),
+    "mozilla public license": ("MPL", "2.0"), "eclipse public license": ("EPL", "2.0"), "european union public licence": ("EUPL", "1.2"), "open software license": ("OSL", "3.0"),
+    "common development and distribution license": ("CDDL", "1.0"), "academic free license": ("AFL", "3.0"), "artistic license": ("Artistic", "2.0"), "open font license": ("OFL", "1.1"),
+}
+VERSION_WITHIN = 120
+_VERSION = re.compile(r"\bversion (\d+(?:\.\d+)?)|\bv\.? ?(\d+(?:\.\d+)?)|^[ ,(-]*(\d+\.\d+)")
+#: A family names the text's licence only near one of these: 'the history of the GNU General Public License' is no notice.
+GRANTS = ("licensed under", "released under", "distributed under", "available under", "under the terms of", "subject to the terms of", "published by the free software foundation", "redistribute it and/or modify")
+TAGS = ("spdx-license-identifier:", "license-expression:", "packagelicenseconcluded:", "packagelicensedeclared:", "licenseconcluded:", "licenseinfoinfile:")
+_ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 _RANK = {c: i for i, c in enumerate(CLASSES)}
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.:+-]*)")
 _SPACE = re.compile(r"\s+")
@@ -189,13 +216,29 @@ def _automaton(phrases: dict[str, str]):
 
     found = ahocorasick.Automaton()
     for tag in TAGS:
-        found.add_word(tag, (len(tag), None))
+        found.add_word(tag, (len(tag), "tag", None))
+    for phrase in FAMILIES:
+        found.add_word(phrase, (len(phrase), "family", phrase))
     for phrase, name in phrases.items():
-        found.add_word(phrase, (len(phrase), name))
+        found.add_word(phrase, (len(phrase), "notice", name))
     found.make_automaton()
     return found
 
 
+def _member(flat: str, start: int, end: int, family: str) -> str | None:
+    """The licence that a family's mention at flat[start:end] grants, if it does."""
+    after = flat[end : end + VERSION_WITHIN]
+    near = flat[max(0, start - VERSION_WITHIN) : start] + flat[start:end] + after
+    if not any(g in near for g in GRANTS):
+        return None
+    stem, version = FAMILIES[family]
+    if m := _VERSION.search(after):
+        given = next(g for g in m.groups() if g)
+        name = f"{stem}-{given if '.' in given else given + '.0'}"
+        version = version if name.lower() not in CLASS_OF else name.removeprefix(f"{stem}-")
+    return f"{stem}-{version}"
+
+
 def _expression(line: str) -> str:
     """The longest start of the line that reads as tokens of an expression, without comment ends."""
     at, depth, operand = 0, 0, True
@@ -222,28 +265,36 @@ def _expression(line: str) -> str:
 
 
 def scan_text(text: str | None, automaton, claims: bool = True) -> tuple[list[str], list[str], str]:
-    """Licences, tag expressions and the class of one text; claims: whether copyright claims by year are notices."""
+    """Licences, tag expressions and the class of one text; claims: whether copyright claims by year, and families, are notices."""
     names, expressions, kind = set(), [], "none"
     # White space runs count as one space, so a notice may be broken over lines.
     lines = (text or "").replace("\r", "\n")
     flat = _SPACE.sub(" ", lines).lower()
     tagged = False
-    for end, (length, name) in automaton.iter(flat):
+    for end, (length, what, name) in automaton.iter(flat):
         start = end + 1 - length
         if start and flat[start - 1].isalnum() and flat[start].isalnum():
             continue
-        if name is None:
+        if what == "tag":
             tagged = True
         elif end + 1 == len(flat) or not (flat[end].isalnum() and flat[end + 1].isalnum()):
-            names.add(name)
+            name = name if what == "notice" else _member(flat, start, end + 1, name) if claims else None
+            if name:
+                names.add(name)
     if claims and _CLAIM.search(flat):
         names.add("Copyright-Notice")
-    granted = [k for n in names if (k := CLASS_OF[n.lower()][1]) != "proprietary"]
+    granted = [k for n in names if (k := CLASS_OF[n.lower()][1]) != "proprietary"]  # notices name known licences
     kind = max(granted, default="none", key=_RANK.__getitem__)
-    if tagged:
-        for m in re.finditer(r"(?i)spdx-license-identifier:([^\n]*)", lines):
-            expression = _expression(m.group(1))
+    if tagged:  # an expression ends with its line, so tags are sought in the text as it is
+        plain = lines.translate(_ASCII_LOWER)
+        for end, (length, what, _) in automaton.iter(plain):
+            if what != "tag" or (end >= length and plain[end - length].isalnum()):
+                continue
+            stop = lines.find("\n", end)
+            expression = _expression(lines[end + 1 : stop if stop >= 0 else len(lines)])
             expressions.append(expression)
+            if expression.upper() == "NONE":
+                continue
             k, found = evaluate(expression)
             names.update(found)
             kind = max(kind, k, key=_RANK.__getitem__)
@@ -268,6 +319,6 @@ def scan(docs: DataFrame, *, phrases: dict[str, str] | None = None, allowed: tup
                 "allowed": pa.array([f[2] in allowed for f in found], pa.bool_()),
             })
 
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")).mapInArrow(
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id bigint, licences array<string>, expressions array<string>, class string, allowed boolean"
     )
