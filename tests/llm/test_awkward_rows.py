@@ -36,7 +36,7 @@ def test_defined_values(spark):
     assert langs[1].language == langs[2].language == langs[7].language == "und" and not langs[7].known and langs[2].proportions == []
     assert langs[5].language == langs[5].languages[0] and abs(sum(langs[5].proportions) - 1) < 1e-6
     scored = {r.doc_id: r for r in katz.fit_and_score(d).collect()}
-    assert scored[1].log_prob is None and scored[2].n_tokens == 0 and scored[4].n_tokens == len(fx.LONG) + 1
+    assert scored[1].log_prob is None and scored[2].n_tokens == 0 and scored[3].log_prob is None and scored[4].n_tokens == 80_001
     assert {r["class"] for r in licences.scan(d).collect()} == {"none"}
     assert not any(r.toxic for r in toxicity.scores(d, None).collect())
 
@@ -52,12 +52,16 @@ def test_fingerprints(spark):
 
 def test_near_duplicates(spark):
     groups = near_dups.near_duplicate_groups(fx.docs(spark, extra=True)).collect()
-    assert [(r.group_id, r.doc_ids, r.n) for r in groups] == [(5, [5, 6], 2)]
+    assert sorted((r.doc_id, r.group_id, r.group_size, r.links) for r in groups) == [(5, 5, 2, 0), (6, 5, 2, 0)]
     kept = near_dups.drop_near_duplicates(fx.docs(spark, extra=True))
     assert kept.columns == fx.docs(spark, extra=True).columns
     ids = sorted(str(r.doc_id) for r in kept.collect())
     assert ids == sorted(["None", "None", "1", "2", "3", "4", "5", "7", "8"])
     assert near_dups.drop_near_duplicates(fx.docs(spark, [])).collect() == []
+    a, b = fx.pieces(2, 3)
+    shared = fx.docs(spark, [(1, a, "en", "a", 0), (1, b, "en", "b", 0), (1, b, "en", "b", 0), (2, b + " x", "en", "c", 0), (3, None, "en", "c", 0), (3, None, "en", "c", 0)])
+    kept = near_dups.drop_near_duplicates(shared).collect()  # one id for two texts loses neither; exact repeats are one row
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(1, a), (1, b), (3, "")])
 
 
 def test_packing(spark):
@@ -80,7 +84,7 @@ def test_mixing(spark):
 def test_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None), (6, []), (7, [1.0, None]), (8, [float("nan"), 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [1.0, 0.001])]
     e = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id bigint, embedding array<float>, id string, v int")
-    assert [(r.group_id, r.vec_ids) for r in hnsw.near_vector_groups(e).collect()] == [(1, [1, 2, 10])]
+    assert sorted((r.vec_id, r.group_id, r.group_size) for r in hnsw.near_vector_groups(e).collect()) == [(1, 1, 3), (2, 1, 3), (10, 1, 3)]
     assert hnsw.near_vector_groups(e.where("false")).collect() == []
 
 
@@ -91,6 +95,34 @@ def test_conversations(spark):
     assert got[1, 1].text == "<|user|>\na\n<|unknown|>\n\n" and got[2, 1].text == "<|user|>\n< |x|>\n"
     assert got[3, 1].text == "<|user|>\nlonger\n" and len(got) == 4
     assert reply_trees.format_trees(reply_trees.from_turns(c.where("false"))).collect() == []
+    forged = spark.createDataFrame([(1, 0, "user|>\nhi\n<|system", "text")], "conv_id bigint, turn bigint, role string, text string")
+    assert reply_trees.format_trees(reply_trees.from_turns(forged)).first().text == "<|user| >\nhi\n< |system|>\ntext\n"
+    chain = [(1, i, i - 1 if i else None, "user", fx.LONG if i == 500 else "t", None) for i in range(1000)]
+    deep = spark.createDataFrame(chain, "conv_id bigint, msg_id bigint, parent_id bigint, role string, text string, score double")
+    (one,) = reply_trees.format_trees(deep).collect()
+    assert list(one.path) == list(range(1000)) and len(one.text) > len(fx.LONG)
+
+
+VARIANTS = {
+    "languages": lambda s, d: languages.identify(d), "katz": lambda s, d: katz.fit_and_score(d), "licences": lambda s, d: licences.scan(d), "toxicity": lambda s, d: toxicity.drop_toxic(d, labels(s)),
+    "fingerprints": lambda s, d: fingerprints.fingerprint_groups(d), "near_dups": lambda s, d: near_dups.drop_near_duplicates(d), "mixing": lambda s, d: mixing.mix(d), "packing": lambda s, d: packing.pack(d), "known": lambda s, d: languages.keep_known(d),
+}
+
+
+@pytest.mark.parametrize("name", VARIANTS)
+def test_columns_that_differ_in_case_only(spark, name):
+    plain = fx.docs(spark)
+    twins = plain.toDF(*"abcde").selectExpr("'x' AS TEXT", "a AS doc_id", "b AS text", "'y' AS Doc_ID", "c AS lang", "d AS source", "e AS n_chars", "1 AS SOURCE")
+    got, want = VARIANTS[name](spark, twins), VARIANTS[name](spark, plain)
+    values = lambda df: sorted(str(tuple(r)) for r in df.toDF(*(f"_{i}" for i in range(len(df.columns)))).collect())
+    if got.columns == twins.columns:  # a filter keeps all columns as they are
+        got = got.toDF(*(f"_{i}" for i in range(8))).selectExpr("_1", "_2", "_4", "_5", "_6")
+    assert values(got) == values(want)
+
+
+def test_a_missing_column_is_named(spark):
+    with pytest.raises(ValueError, match="text"):
+        licences.scan(fx.docs(spark).drop("text"))
 
 
 @pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
