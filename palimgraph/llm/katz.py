@@ -46,7 +46,7 @@ from .common import pick, table
 CUT, BITS = 5, 31
 TOKENS, BEGIN, END = 1 << BITS, 0, 1
 #: Characters of a batch, tokens of a part.
-BATCH, PART = 24_000_000, 2_000_000
+BATCH, PART = 16_000_000, 2_000_000
 _LOW = np.int64(TOKENS - 1)
 _CLASS = np.ones(256, np.uint8)  # 0: white space, 1: a token by itself, 2: of a run
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -55,6 +55,11 @@ _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 2
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, and how many each text has."""
+    found = [_tokens(texts[a:b]) for a, b in textvec.chunks(texts)]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     at = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=at[1:])
