@@ -5,6 +5,8 @@ strings have no datatype suffix.  Null stands for unbound or error."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ _RADIX = (13, 32, 25, 62, 62)
 _DATE = r"^([+-]?\d{4,})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)?$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
 
@@ -156,26 +163,58 @@ def number(t: Column) -> Column:
     return F.when(numeric_name(t).isNotNull(), lexical(t).try_cast("double"))
 
 
+#: Integers and decimals of up to 20 digits before and 18 after the point are reckoned exactly.
+EXACT = "decimal(38,18)"
+
+
+def exact(t: Column) -> Column:
+    """The value of an integer or decimal literal; null of others, and of too many digits."""
+    value = let(lexical(t), lambda x: F.when(~x.rlike(r"\.\d{19}"), x.try_cast(EXACT)))
+    return F.when(numeric_name(t).isin(*INTEGERS, "decimal"), value)
+
+
 def number_rank(t: Column) -> Column:
     """0 integer, 1 decimal, 2 float, 3 double."""
     n = numeric_name(t)
     return F.when(n == "double", 3).when(n == "float", 2).when(n == "decimal", 1).when(n.isNotNull(), 0)
 
 
-def number_term(value: Column, rank: Column) -> Column:
-    """A numeric literal of the datatype of the rank."""
-    whole = F.format_string("%.0f", value)
+def number_text(value: Column, rank: Column, exact: Column) -> Column:
+    """The lexical form of a number of the rank's datatype; exact: its value where that is known exactly."""
+    size = F.abs(exact)
+    digits = F.concat(F.when(exact < 0, "-").otherwise(""), F.floor(size).cast("decimal(38,0)").cast("string"))
+    rest = F.rtrim(F.lpad(((size - F.floor(size)) * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)").cast("string"), 18, "0"), F.lit("0"))
+    whole = F.coalesce(digits, F.format_string("%.0f", value))
     short = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", value), "0+$", ""), r"\.$", "")
-    return F.when(value.isNull() | rank.isNull(), None).when(rank == 0, typed_literal(whole, XSD + "integer")).when(rank == 1, typed_literal(short, XSD + "decimal")).when(rank == 2, typed_literal(value.cast("string"), XSD + "float")).otherwise(typed_literal(value.cast("string"), XSD + "double"))
+    short = F.coalesce(F.when(rest == "", digits).otherwise(F.concat(digits, F.lit("."), rest)), short)
+    return F.when(value.isNull() | rank.isNull(), None).when(rank == 0, whole).when(rank == 1, short).otherwise(value.cast("string"))
+
+
+def number_term(value: Column, rank: Column, exact: Column | None = None) -> Column:
+    """A numeric literal of the datatype of the rank."""
+    exact = F.lit(None).cast(EXACT) if exact is None else exact
+    types = F.element_at(F.array(*(F.lit(f'"^^<{XSD}{n}>') for n in ("integer", "decimal", "float", "double"))), rank + 1)
+    return let(F.struct(value.alias("v"), rank.alias("r"), exact.alias("e"), types.alias("t")), lambda x: F.concat(F.lit('"'), number_text(x.v, x.r, x.e), x.t))
+
+
+def date_seconds(t: Column) -> Column:
+    """Seconds since 1970 of a dateTime with a zone; null of others."""
+    text = lexical(t)
+    return F.when(is_datatype(t, "dateTime") & text.rlike(r"(Z|[+-]\d\d:\d\d)$"), F.unix_seconds(F.try_to_timestamp(F.ltrim(text, F.lit("+")))))
 
 
 def date_key(t: Column) -> Column:
-    """A number in the order of dateTimes, months and days of 0 and second 60 included."""
+    """A number in the order of dateTimes, months and days of 0 and second 60 included; another zone than UTC is reckoned to UTC."""
+
+    def key(x: Column) -> Column:
+        out = F.regexp_extract(x, _DATE, 1).try_cast("bigint")
+        for i, radix in enumerate(_RADIX):
+            out = out * radix + F.regexp_extract(x, _DATE, i + 2).try_cast("bigint")
+        return out
+
     text = lexical(t)
-    key = F.regexp_extract(text, _DATE, 1).try_cast("bigint")
-    for i, radix in enumerate(_RADIX):
-        key = key * radix + F.regexp_extract(text, _DATE, i + 2).try_cast("bigint")
-    return F.when(is_datatype(t, "dateTime"), key)
+    abroad = text.rlike(r"[+-]\d\d:\d\d$") & ~text.rlike(r"[+-]00:00$")
+    return F.when(is_datatype(t, "dateTime"), let(F.when(abroad, F.coalesce(lexical(date_literal(date_seconds(t))), text)).otherwise(text), key))
 
 
 def date_part(t: Column, part: int) -> Column:
@@ -197,5 +236,5 @@ def snapshot_revision(t: Column) -> Column:
 def order_keys(t: Column, descending: bool = False) -> list[Column]:
     """Sort columns for the order unbound, blank nodes, IRIs, literals."""
     rank = F.when(t.isNull(), 0).when(is_blank(t), 1).when(is_iri(t), 2).otherwise(3)
-    keys = [rank, number(t), date_key(t), F.coalesce(text_of(t), t), t]
+    keys = [rank, number(t), exact(t), date_key(t), F.coalesce(text_of(t), t), t]
     return [k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys]

@@ -1,10 +1,11 @@
 """Triple-pattern scans in the contexts of a history.
 
-Filters are on plain columns, so they reach the Parquet scan; a table sorted
-by predicate and subject is pruned by its row groups' statistics."""
+Filters are on plain columns, so they reach the Parquet scan; of a table's
+sorted copies the one is read whose row groups a pattern's constants prune."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,28 @@ from ..functions import terms as T
 from ..vocabulary import MAX, SNAPSHOTS, snapshot
 
 
+@dataclass
+class Tables:
+    """The same triples in several orders: by (p, s, o), by (s, p, o), by (o, p, s), by rev_start and by rev_end.  Only the first must be there."""
+
+    triples: DataFrame
+    by_subject: DataFrame | None = None
+    by_object: DataFrame | None = None
+    by_start: DataFrame | None = None
+    by_end: DataFrame | None = None
+
+    def of(self, s: str | None = None, p: str | None = None, o: str | None = None, kind: str | None = None) -> DataFrame:
+        """The copy to read for a pattern with these constants; kind: of the context, where it is one revision's."""
+        found = None
+        if kind in ("A", "D"):
+            found = self.by_start if kind == "A" else self.by_end
+        elif s is not None and p is None:
+            found = self.by_subject
+        elif s is None and o is not None:
+            found = self.by_object
+        return self.triples if found is None else found
+
+
 def where_terms(df: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
     for column, value in (("p", p), ("s", s), ("o", o)):
         if value is not None:
@@ -35,10 +58,11 @@ def deletions_at(triples: DataFrame, revision: int) -> DataFrame:
     return triples.where((F.col("rev_end") == r) & (r < MAX))
 
 
-def in_context(triples: DataFrame, context: str) -> DataFrame:
+def in_context(tables: Tables, context: str, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
     """Quads (s, p, o, g) of one named graph; none where it isn't a state, additions or deletions of a revision."""
     at = snapshot(context)
     of = {"G": state_at, "A": additions_at, "D": deletions_at}
+    triples = where_terms(tables.of(s, p, o, at and at[0]), s, p, o)
     found = of[at[0]](triples, at[1]) if at and at[0] in of else triples.where(F.lit(False))
     return found.select("s", "p", "o", F.lit(context).alias("g"))
 
@@ -54,7 +78,7 @@ def boundary_quads(triples: DataFrame) -> DataFrame:
     return rows.select("s", "p", "o", g.alias("g"))
 
 
-def quads(triples: DataFrame, revisions: DataFrame | None, s: str | None = None, p: str | None = None, o: str | None = None, contexts: tuple[str, ...] = ()) -> DataFrame:
+def quads(tables: Tables, revisions: DataFrame | None, s: str | None = None, p: str | None = None, o: str | None = None, contexts: tuple[str, ...] = ()) -> DataFrame:
     """The statements of a pattern (s, p, o, g).
 
     Without contexts: a revision attribute's statements where p is one,
@@ -62,12 +86,11 @@ def quads(triples: DataFrame, revisions: DataFrame | None, s: str | None = None,
     additions and deletions.  With contexts: the bag union of theirs."""
     from . import magic
 
-    data = where_terms(triples, s, p, o)
     if contexts:
-        return reduce(DataFrame.unionByName, [in_context(data, c) for c in contexts])
+        return reduce(DataFrame.unionByName, [in_context(tables, c, s, p, o) for c in contexts])
     if p in magic.PREDICATES:
         return magic.statements(revisions, p, s, o).withColumn("g", F.lit(None).cast("string"))
-    found = boundary_quads(data)
+    found = boundary_quads(where_terms(tables.of(s, p, o), s, p, o))
     if p is None and revisions is not None:
         for name in magic.PREDICATES:
             found = found.unionByName(magic.statements(revisions, name, s, o).withColumn("g", F.lit(None).cast("string")))

@@ -79,13 +79,16 @@ class Compiler:
         if aggregated:
             rel, made = self.aggregate(rel, q)
             for e in q.having:
-                rel = Rel(rel.df.where(F.coalesce(self.expressions(rel, made)(e).bool(), F.lit(False))), rel.cols, rel.maybe, rel.kinds)
+                rel = self.filter(rel, e, made)
         for name, e in q.projection:
             if e is not None:
                 rel = self.extend(rel, e, name, made)
         names = [n for n, _ in q.projection] or sorted(n for n in rel.cols if not n.startswith("."))
         df = rel.df
-        order = [k for e, down in q.order_by for k in T.order_keys(self.expressions(rel, made)(e).term(), down)]
+        order = []
+        for e, down in q.order_by:
+            df, exists = self.flags(Rel(df, rel.cols, rel.maybe, rel.kinds), e)
+            order += T.order_keys(Expressions(rel.column, exists, made)(e).term(), down)
         if order:
             df = df.orderBy(*order)
         aliases = [self.fresh(n) for n in names]
@@ -134,7 +137,7 @@ class Compiler:
         return Rel(df, cols, maybe, {n: k for n, k in rel.kinds.items() if n in cols}), made
 
     def _aggregate(self, rel: Rel, name: str, distinct: bool, v: Val | None, separator: str) -> tuple[Column, Any]:
-        number = lambda c: Val("num", c.cast("double"), F.lit(0))
+        number = lambda c: Val("num", c.cast("double"), F.lit(0), whole=c)
         if name == "COUNT":
             if v is None:
                 if distinct:
@@ -142,24 +145,27 @@ class Compiler:
                 return F.count(F.lit(1)), number
             return (F.count_distinct(v.term()) if distinct else F.count(v.term())), number
         if name in ("SUM", "AVG"):
-            n, t = v.number(), v.term()
+            n, t, exact = v.number(), v.term(), v.exactly()
             if distinct:  # equal terms count once
-                pairs = F.collect_set(F.struct(t.alias("t"), n.alias("n"), v.number_rank().alias("r")))
+                pairs = F.collect_set(F.struct(t.alias("t"), n.alias("n"), v.number_rank().alias("r"), exact.alias("e")))
+                whole = F.aggregate(pairs, F.lit(0).cast(T.EXACT), lambda a, x: (a + F.when(x.t.isNull(), F.lit(0).cast(T.EXACT)).otherwise(x.e)).try_cast(T.EXACT))
                 total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + F.coalesce(x.n, F.lit(0.0)))
                 bad, size, rank = F.exists(pairs, lambda x: x.t.isNotNull() & x.n.isNull()), F.size(F.filter(pairs, lambda x: x.t.isNotNull())), F.array_max(F.transform(pairs, lambda x: x.r))
             else:
+                whole = F.when(F.count(exact) == F.count(t), F.coalesce(F.try_sum(exact).try_cast(T.EXACT), F.when(F.count(t) == 0, F.lit(0).cast(T.EXACT))))
                 total, bad, size, rank = F.coalesce(F.sum(n), F.lit(0.0)), F.count(F.when(t.isNotNull() & n.isNull(), 1)) > 0, F.count(t), F.max(v.number_rank())
             rank = F.coalesce(rank, F.lit(0))
             if name == "AVG":
                 total, rank = F.when(size == 0, 0.0).otherwise(F.try_divide(total, size)), F.when(size == 0, 0).otherwise(F.greatest(rank, F.lit(1)))
-            return F.when(~bad, F.struct(total.alias("n"), rank.alias("r"))), lambda c: Val("num", c.n, c.r)
+                whole = F.lit(None).cast(T.EXACT)
+            return F.when(~bad, F.struct(total.alias("n"), rank.alias("r"), whole.alias("e"))), lambda c: Val("num", c.n, c.r, exact=c.e)
         t = v.term()
         if name in ("MIN", "MAX"):
             kind = F.when(T.is_blank(t), 1).when(T.is_iri(t), 2).otherwise(3)
-            keyed = F.when(t.isNotNull(), F.struct(kind.alias("k"), T.number(t).alias("n"), T.date_key(t).alias("d"), F.coalesce(T.text_of(t), t).alias("x"), t.alias("t")))
-            return (F.min(keyed) if name == "MIN" else F.max(keyed)), lambda c: Val("term", c.t)
+            keyed = F.when(t.isNotNull(), F.struct(kind.alias("k"), T.number(t).alias("n"), T.exact(t).alias("e"), T.date_key(t).alias("d"), F.coalesce(T.text_of(t), t).alias("x"), t.alias("t")))
+            return (F.min(keyed) if name == "MIN" else F.max(keyed)), lambda c: Val("term", c.t, simple=True)
         if name == "SAMPLE":  # the least term, so that a query gives the same each time
-            return F.min(t), lambda c: Val("term", c)
+            return F.min(t), lambda c: Val("term", c, simple=True)
         texts = v.text()
         items = F.collect_set(F.struct(t.alias("t"), texts.alias("x"))) if distinct else F.collect_list(F.struct(t.alias("t"), texts.alias("x")))
         held = F.sort_array(F.filter(items, lambda x: x.t.isNotNull()))
@@ -212,10 +218,18 @@ class Compiler:
             bound = set(rel.cols) if rel else set()
             sources = {x.name for p in patterns for x in (p.s, p.p, p.o) if isinstance(x, Var)}
             ready = [p for p in patterns if not isinstance(p.g, Var) or p.g.name in bound or p.g.name not in sources] or patterns
+            # A date that others may give comes first.
+            dated = [p for p in ready if not (self._of_revisions(p) and p.p == magic.STATE_AT and isinstance(p.o, Var) and p.o.name not in bound)]
+            ready = dated or ready
             p = ready[pick(ready, bound)]
-            patterns = [x for x in patterns if x is not p]
+            star = [x for x in ready if x.s == p.s and self._of_revisions(x) and x.p in magic.STORED] if self._of_revisions(p) and p.p in magic.STORED and isinstance(p.s, Var) else [p]
+            patterns = [x for x in patterns if all(x is not y for y in star)]
             if isinstance(p.g, Var) and rel and p.g.name in rel.cols:
                 rel = self.correlate(rel, p)
+            elif self._of_revisions(p) and p.p in magic.STORED and isinstance(p.s, Var):
+                rel = self.star(rel, p.s.name, star)
+            elif rel and self._of_revisions(p) and (made := self.step(rel, p)):
+                rel = made
             else:
                 made = self.pattern(p)
                 rel = made if rel is None else self.join(rel, made)
@@ -225,6 +239,69 @@ class Compiler:
                 rel = made if rel is None else self.join(rel, made)
         return rel
 
+    # -- attributes of revisions
+
+    def _of_revisions(self, p: Pattern) -> bool:
+        return p.g is None and not self.default and p.p in magic.PREDICATES if isinstance(p.p, str) else False
+
+    def _sure(self, rel: Rel | None, x: Any) -> Column | None:
+        """The column of a variable that every row binds."""
+        return rel.column(x.name) if rel and isinstance(x, Var) and x.name not in rel.maybe else None
+
+    def step(self, rel: Rel, p: Pattern) -> Rel | None:
+        """An attribute that follows from a side that rel binds, whether or not the revision exists; None if neither does."""
+        s, o = self._sure(rel, p.s), self._sure(rel, p.o)
+        if p.p == magic.STATE_AT:
+            if o is None:
+                return None
+            found = magic.states_at_dates(self.store.revisions, rel.df, rel.cols[p.o.name])
+            found = found if isinstance(p.s, Var) else found.where(F.col("s") == p.s)
+            made = self.bind(found, [(p.s, "s"), (p.o, "o")])
+            made.kinds = {p.s.name: {"G"}} if isinstance(p.s, Var) else {}
+            return self.join(rel, made)
+        if s is None and o is None:
+            return None
+        known, other, value = (s, p.o, magic.object_of(p.p, s)) if s is not None else (o, p.s, magic.subject_of(p.p, o))
+        if isinstance(other, Var) and other.name in rel.maybe:
+            return None
+        alias = self.fresh(other.name if isinstance(other, Var) else "given")
+        df = rel.df.withColumn(alias, value).where(F.col(alias).isNotNull())
+        if not isinstance(other, Var) or other.name in rel.cols:
+            df = df.where(F.col(alias) == (F.lit(other) if isinstance(other, str) else F.col(rel.cols[other.name])))
+            return Rel(df, rel.cols, rel.maybe, rel.kinds)
+        kinds = {p.o.name: {magic.OBJECT_KIND[p.p]}} if isinstance(p.o, Var) and p.p in magic.OBJECT_KIND and p.p not in (magic.PREVIOUS, magic.NEXT) else {}
+        return Rel(df, rel.cols | {other.name: alias}, rel.maybe, rel.kinds | kinds)
+
+    def star(self, rel: Rel | None, subject: str, patterns: list[Pattern]) -> Rel:
+        """Stored attributes of one subject: one scan of the revisions, joined on what rel binds."""
+        df = self.store.revisions
+        for p in patterns:
+            if isinstance(p.o, str):
+                df = magic.with_object(df, p.p, p.o)
+        cols: dict[str, str] = {}
+        on, picked = [], [F.col("revision_id").alias(rid := self.fresh("rid"))]
+        at = self._sure(rel, Var(subject))
+        if at is not None:
+            on.append(T.snapshot_revision(at) == F.col(rid))
+        else:
+            cols[subject] = self.fresh(subject)
+            picked.append(T.iri_column(SNAPSHOTS["N"], F.col("revision_id")).alias(cols[subject]))
+        for p in patterns:
+            value = magic.attribute(p.p)
+            df = df.where(value.isNotNull())
+            given = self._sure(rel, p.o)
+            if given is not None and p.p == magic.DATE:  # an instant, however it is spelled
+                picked.append(F.col("ts_sec").alias(sec := self.fresh("sec")))
+                on.append(T.date_seconds(given) == F.col(sec))
+            elif isinstance(p.o, Var) and p.o.name not in cols and p.o.name != subject:
+                cols[p.o.name] = self.fresh(p.o.name)
+                picked.append(value.alias(cols[p.o.name]))
+            elif isinstance(p.o, Var):
+                df = df.where(value == (T.iri_column(SNAPSHOTS["N"], F.col("revision_id")) if p.o.name == subject else magic.attribute(next(x.p for x in patterns if x.o == p.o))))
+        kinds = {p.o.name: {"N"} for p in patterns if isinstance(p.o, Var) and p.p == magic.PARENT}
+        made = Rel(df.select(*picked), cols, set(), kinds)
+        return made if rel is None else self.join(rel, made, on=on)
+
     def item(self, item: Any, rel: Rel | None) -> Rel:
         if isinstance(item, Values):
             return self.values(item)
@@ -263,29 +340,24 @@ class Compiler:
 
     # -- leaves
 
-    def data(self, g: Any) -> tuple[DataFrame, bool]:
-        """Quads (s, p, o, g) of a pattern's context, and whether g is a column to bind."""
-        triples = self.store.triples
+    def data(self, g: Any, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
+        """Quads (s, p, o, g) of a pattern's constants in its context."""
+        tables = self.store.tables
         if isinstance(g, str):
-            if self.named and g not in self.named:
-                return scan.in_context(triples, ""), False
-            return scan.in_context(triples, g), False
-        if isinstance(g, Var):
-            if self.named:
-                return reduce(DataFrame.unionByName, [scan.in_context(triples, n) for n in self.named]), True
-            return scan.boundary_quads(triples), True
-        if self.default:
-            return reduce(DataFrame.unionByName, [scan.in_context(triples, n) for n in self.default]), False
-        return scan.boundary_quads(triples), False
+            return scan.in_context(tables, "" if self.named and g not in self.named else g, s, p, o)
+        graphs = self.named if isinstance(g, Var) else self.default
+        if graphs:
+            return reduce(DataFrame.unionByName, [scan.in_context(tables, n, s, p, o) for n in graphs])
+        return scan.boundary_quads(scan.where_terms(tables.of(s, p, o), s, p, o))
 
     def pattern(self, p: Pattern) -> Rel:
         if isinstance(p.p, tuple):
             return self.path(p)
-        const = lambda x: x if isinstance(x, str) else None
+        given = [x if isinstance(x, str) else None for x in (p.s, p.p, p.o)]
         if p.g is None and not self.default:
-            quads = scan.quads(self.store.triples, self.store.revisions, const(p.s), const(p.p), const(p.o))
+            quads = scan.quads(self.store.tables, self.store.revisions, *given)
         else:
-            quads = scan.where_terms(self.data(p.g)[0], const(p.s), const(p.p), const(p.o))
+            quads = self.data(p.g, *given)
         rel = self.bind(quads, [(p.s, "s"), (p.p, "p"), (p.o, "o"), (p.g, "g")])
         if p.g is None and not self.default:
             if isinstance(p.o, Var) and p.p in magic.OBJECT_KIND:
@@ -322,8 +394,12 @@ class Compiler:
         g = F.col(rel.cols[p.g.name])
         if isinstance(p.p, tuple):  # paths are read graph by graph
             return self.path_in(rel, p)
-        const = lambda x: x if isinstance(x, str) else None
-        triples = scan.where_terms(self.store.triples, const(p.s), const(p.p), const(p.o))
+        loose = [x.name for x in (p.s, p.p, p.o) if isinstance(x, Var) and x.name in rel.maybe and x.name in rel.cols and x != p.g]
+        if loose:  # apart by what is bound, so that every part joins by equality
+            sides = [(df, set(loose) - set(bound)) for df, bound in self._sides(rel, list(dict.fromkeys(loose)))]
+            return self.union([self.correlate(Rel(df, {n: c for n, c in rel.cols.items() if n not in gone}, rel.maybe - set(loose), rel.kinds), p) for df, gone in sides])
+        given = [x if isinstance(x, str) else None for x in (p.s, p.p, p.o)]
+        triples = scan.where_terms(self.store.tables.of(*given), *given)
         sides = [(p.s, "s"), (p.p, "p"), (p.o, "o")]
         parts = []
         for kind in sorted(rel.kinds.get(p.g.name, {"A", "D", "G"}) & {"A", "D", "G"}):
@@ -333,18 +409,16 @@ class Compiler:
             start, end = inner.cols.pop(".start"), inner.cols.pop(".end")
             shared = [n for n in inner.cols if n in rel.cols and n != p.g.name]
             r = F.col("_r")
-            keys = [F.col(rel.cols[n]) == F.col(inner.cols[n]) for n in shared if n not in rel.maybe]
-            loose = [F.col(rel.cols[n]).isNull() | (F.col(rel.cols[n]) == F.col(inner.cols[n])) for n in shared if n in rel.maybe]
+            keys = [F.col(rel.cols[n]) == F.col(inner.cols[n]) for n in shared]
             if kind in "AD":
                 bound = F.col(start) == r if kind == "A" else (F.col(end) == r) & (F.col(end) < MAX)
-                both = left.join(inner.df, reduce(Column.__and__, [*keys, *loose, bound]))
+                both = left.join(inner.df, reduce(Column.__and__, [*keys, bound]))
             elif keys:
-                both = left.join(inner.df, reduce(Column.__and__, [*keys, *loose, F.col(start) <= r, r < F.col(end)]))
+                both = left.join(inner.df, reduce(Column.__and__, [*keys, F.col(start) <= r, r < F.col(end)]))
             else:
                 both = temporal_join.contains(left, inner.df, "_r", start, end, levels=self.store.revision_bits())
-                both = both.where(reduce(Column.__and__, loose)) if loose else both
             out = {n: c for n, c in rel.cols.items()} | {n: c for n, c in inner.cols.items() if n not in rel.cols}
-            picked = [(F.coalesce(F.col(c), F.col(inner.cols[n])) if n in shared and n in rel.maybe else F.col(c)).alias(c) for n, c in out.items()]
+            picked = list(out.values())
             made = both.select(*picked)
             if isinstance(p.g, Var) and p.g.name in inner.cols:
                 made = both.where(F.col(inner.cols[p.g.name]) == g).select(*picked)
@@ -387,13 +461,13 @@ class Compiler:
     def edges(self, g: Any) -> DataFrame:
         if isinstance(g, Tagged):
             return g.edges
-        return self.data(g)[0].select(F.col("s").alias("x"), "p", F.col("o").alias("y"))
+        return self.data(g).select(F.col("s").alias("x"), "p", F.col("o").alias("y"))
 
     def pairs(self, path: Any, g: Any, start: str | None = None, end: str | None = None, terms: list[str] = ()) -> DataFrame:
         """(x, y) of a path."""
         if isinstance(path, str):
             if g is None and not self.default:
-                return scan.quads(self.store.triples, self.store.revisions, None, path, None).select(F.col("s").alias("x"), F.col("o").alias("y"))
+                return scan.quads(self.store.tables, self.store.revisions, None, path, None).select(F.col("s").alias("x"), F.col("o").alias("y"))
             return self.edges(g).where(F.col("p") == path).select("x", "y")
         op, *rest = path
         if op == "^":
@@ -438,12 +512,12 @@ class Compiler:
         return Expressions(rel.column, None, aggregates)
 
     def extend(self, rel: Rel, e: Any, name: str, aggregates: dict | None = None) -> Rel:
-        if any(True for _ in self._exists(e)):
-            raise UnsupportedQuery("EXISTS outside FILTER")
-        value = self.expressions(rel, aggregates)(e).term()
+        flagged, exists = self.flags(rel, e)
+        value = Expressions(rel.column, exists, aggregates)(e).term()
         alias = self.fresh(name)
         kinds = {name: rel.kinds[e.name]} if isinstance(e, Var) and e.name in rel.kinds else {}
-        return Rel(rel.df.withColumn(alias, value), rel.cols | {name: alias}, rel.maybe | {name}, rel.kinds | kinds)
+        maybe = set() if isinstance(e, str) or (isinstance(e, Var) and e.name in rel.cols and e.name not in rel.maybe) or (isinstance(e, tuple) and e[0] in ("BOUND", "EXISTS")) else {name}
+        return Rel(flagged.withColumn(alias, value), rel.cols | {name: alias}, rel.maybe | maybe, rel.kinds | kinds)
 
     def _exists(self, e: Any):
         if isinstance(e, tuple):
@@ -453,37 +527,41 @@ class Compiler:
                 for x in e:
                     yield from self._exists(x)
 
-    def filter(self, rel: Rel, e: Any) -> Rel:
+    def flags(self, rel: Rel, e: Any) -> tuple[DataFrame, Any]:
+        """The rows with a flag for each EXISTS inside an expression, and a function from its group to the flag.
+
+        Whether a pattern exists depends on the variables that it shares with the row: each combination of these is looked up once."""
+        df, of = rel.df, {}
+        for x in self._exists(e):
+            names = names_in(x[1]) & set(rel.cols)
+            flag = self.fresh("flag")
+            if names:
+                keys = self.distinct(rel, names)
+                hit = self.semi(keys, x[1], "left_semi").df.withColumn(flag, F.lit(True))
+                df = df.join(hit, reduce(Column.__and__, [F.col(rel.cols[n]).eqNullSafe(F.col(keys.cols[n])) for n in names]), "left").drop(*keys.cols.values())
+            else:
+                df = df.join(self.group(x[1]).df.limit(1).select(F.lit(True).alias(flag)), F.lit(True), "left")
+            of[id(x[1])] = F.coalesce(F.col(flag), F.lit(False))
+        return df, (lambda group: of[id(group)])
+
+    def filter(self, rel: Rel, e: Any, aggregates: dict | None = None) -> Rel:
         if isinstance(e, tuple) and e[0] == "&&":
-            return self.filter(self.filter(rel, e[1]), e[2])
+            return self.filter(self.filter(rel, e[1], aggregates), e[2], aggregates)
         if isinstance(e, tuple) and e[0] == "EXISTS":
             return self.semi(rel, e[1], "left_semi")
         if isinstance(e, tuple) and e[0] == "!" and isinstance(e[1], tuple) and e[1][0] == "EXISTS":
             return self.semi(rel, e[1][1], "left_anti")
-        found = list(self._exists(e))
-        flags: dict[int, Column] = {}
-        df = rel.df
-        if found:  # inside a larger expression: a flag for each row
-            key = self.fresh("row")
-            df = df.withColumn(key, F.monotonically_increasing_id())
-            for x in found:
-                hit = self.semi(Rel(df, rel.cols, rel.maybe, rel.kinds), x[1], "left_semi").df.select(F.col(key), F.lit(True).alias(flag := self.fresh("flag")))
-                df = df.join(hit, key, "left")
-                flags[id(x[1])] = F.coalesce(F.col(flag), F.lit(False))
-        holds = Expressions(rel.column, lambda group: flags[id(group)])(e).bool()
-        kept = df.where(F.coalesce(holds, F.lit(False)))
+        flagged, exists = self.flags(rel, e)
+        kept = flagged.where(F.coalesce(Expressions(rel.column, exists, aggregates)(e).bool(), F.lit(False)))
         bound = {e[1].name} if isinstance(e, tuple) and e[0] == "BOUND" else set()
-        return Rel(kept.select(*[F.col(c) for c in rel.cols.values()]) if found else kept, rel.cols, rel.maybe - bound, rel.kinds)
+        return Rel(kept, rel.cols, rel.maybe - bound, rel.kinds)
 
     def semi(self, rel: Rel, group: Group, how: str) -> Rel:
         outside = self._filter_names(group) - self._bound_names(group)
         names = (outside | self._graph_names(group)) & set(rel.cols)
         inner = self.group(group, self.distinct(rel, names) if names else None)
         shared = [n for n in inner.cols if n in rel.cols]
-        if not shared:
-            some = inner.df.limit(1).select(F.lit(True).alias("_some"))
-            return Rel(rel.df.join(some, F.lit(True), how), rel.cols, rel.maybe, rel.kinds)
-        return Rel(rel.df.join(inner.df, reduce(Column.__and__, self._matches(rel, inner, shared)), how), rel.cols, rel.maybe, rel.kinds)
+        return self.split(rel, inner, shared, "semi" if how == "left_semi" else "anti")
 
     def _filter_names(self, x: Any) -> set[str]:
         if isinstance(x, Group):
@@ -500,38 +578,74 @@ class Compiler:
         """Variables that every solution of the group binds by patterns of its own."""
         return set().union(*(names_in(i) for i in group.items if isinstance(i, (Pattern, Graph, Group)))) if group.items else set()
 
-    def _matches(self, a: Rel, b: Rel, shared: list[str]) -> list[Column]:
-        out = []
+    @staticmethod
+    def _sides(rel: Rel, shared: list[str]) -> list[tuple[DataFrame, list[str]]]:
+        """The rows apart by which of the shared variables they bind: each part joins by equality on these."""
+        parts = [(rel.df, [])]
         for n in shared:
-            x, y = F.col(a.cols[n]), F.col(b.cols[n])
-            c = x == y
-            if n in a.maybe:
-                c = c | x.isNull()
-            if n in b.maybe:
-                c = c | y.isNull()
-            out.append(c)
-        return out
-
-    def join(self, a: Rel, b: Rel, how: str = "inner", condition: Any = None) -> Rel:
-        shared = [n for n in b.cols if n in a.cols]
-        on = self._matches(a, b, shared)
+            if n in rel.maybe:
+                c = F.col(rel.cols[n])
+                parts = [x for df, bound in parts for x in ((df.where(c.isNotNull()), [*bound, n]), (df.where(c.isNull()), bound))]
+            else:
+                parts = [(df, [*bound, n]) for df, bound in parts]
+        return parts
+
+    def split(self, a: Rel, b: Rel, shared: list[str], how: str, condition: Column | None = None, on: list[Column] | None = None, common: bool = False) -> Rel:
+        """a with the rows of b that agree in all variables that both bind: 'inner', 'left', 'semi' or 'anti'.
+
+        Rows are taken apart by the variables that they bind, so every part is an equality join.
+        common: only rows that both bind some shared variable agree (MINUS)."""
+        extra = [*(on or []), *([] if condition is None else [condition])]
         cols = a.cols | {n: c for n, c in b.cols.items() if n not in a.cols}
-        left = how == "left"
-        if condition is not None:
-            look = lambda n: F.coalesce(F.col(a.cols[n]), F.col(b.cols[n])) if n in shared else F.col(cols[n]) if n in cols else None
-            on.append(F.coalesce(Expressions(look)(condition).bool(), F.lit(False)))
-        if not on:
-            both = a.df.join(b.df, F.lit(True), "left") if left else a.df.crossJoin(b.df)
-        else:
-            both = a.df.join(b.df, reduce(Column.__and__, on), how)
+
+        def both(x: DataFrame, y: DataFrame, keys: list[str], kind: str) -> DataFrame | None:
+            match = [F.col(a.cols[n]) == F.col(b.cols[n]) for n in keys] + extra
+            if common and not keys:
+                return None
+            if not match:
+                return x.crossJoin(y) if kind == "inner" else x.join(y.limit(1).select(F.lit(True).alias("_some")), F.lit(True), kind)
+            return x.join(y, reduce(Column.__and__, match), kind)
+
+        made = []
+        for x, mine in self._sides(a, shared):
+            sides = [(y, [n for n in theirs if n in mine]) for y, theirs in self._sides(b, shared)]
+            if how == "left" and len(sides) == 1 and (sides[0][1] or extra):
+                made.append(both(x, *sides[0], "left"))
+                continue
+            if how in ("inner", "left"):
+                made += [both(x, y, keys, "inner") for y, keys in sides]
+            rest = x
+            if how != "inner":
+                for y, keys in sides:
+                    if how == "semi" and (found := both(rest, y, keys, "left_semi")) is not None:
+                        made.append(found)
+                    if how != "semi" or len(sides) > 1:
+                        left = both(rest, y, keys, "left_anti")
+                        rest = rest if left is None else left
+                if how == "anti":
+                    made.append(rest)
+                elif how == "left":
+                    made.append(rest.select("*", *[F.lit(None).cast("string").alias(c) for c in b.df.columns]))
+        if how in ("semi", "anti"):
+            return Rel(reduce(DataFrame.unionByName, made), a.cols, a.maybe, a.kinds)
         picked = [(F.coalesce(F.col(c), F.col(b.cols[n])) if n in shared and n in a.maybe else F.col(c)).alias(c) for n, c in cols.items()]
+        left = how == "left"
         maybe = {n for n in cols if (n in a.maybe and (left or n not in b.cols or n in b.maybe)) or (n in b.maybe and n not in a.cols)}
         if left:
             maybe |= {n for n in b.cols if n not in a.cols}
         kinds = dict(b.kinds)
         for n, k in a.kinds.items():
             kinds[n] = k & kinds[n] if n in kinds else k
-        return Rel(both.select(*picked), cols, maybe, kinds)
+        return Rel(reduce(DataFrame.unionByName, [m.select(*picked) for m in made]), cols, maybe, kinds)
+
+    def join(self, a: Rel, b: Rel, how: str = "inner", condition: Any = None, on: list[Column] | None = None) -> Rel:
+        """on: equalities beside those of the shared variables."""
+        shared = [n for n in b.cols if n in a.cols]
+        found = None
+        if condition is not None:
+            look = lambda n: F.coalesce(F.col(a.cols[n]), F.col(b.cols[n])) if n in shared else F.col((a.cols | b.cols)[n]) if n in a.cols or n in b.cols else None
+            found = F.coalesce(Expressions(look)(condition).bool(), F.lit(False))
+        return self.split(a, b, shared, how, found, on)
 
     def optional(self, rel: Rel, group: Group) -> Rel:
         """The group's own filters are conditions of the join, where they may use outside variables."""
@@ -544,10 +658,7 @@ class Compiler:
         shared = [n for n in b.cols if n in a.cols]
         if not shared:
             return a
-        on = self._matches(a, b, shared)
-        if all(n in a.maybe or n in b.maybe for n in shared):  # some shared variable must be bound on both sides
-            on.append(reduce(Column.__or__, [F.col(a.cols[n]).isNotNull() & F.col(b.cols[n]).isNotNull() for n in shared]))
-        return Rel(a.df.join(b.df, reduce(Column.__and__, on), "left_anti"), a.cols, a.maybe, a.kinds)
+        return self.split(a, b, shared, "anti", common=True)
 
     def union(self, sides: list[Rel]) -> Rel:
         names = sorted(set().union(*(s.cols for s in sides)))

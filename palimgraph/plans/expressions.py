@@ -17,40 +17,74 @@ from .algebra import Var
 
 @dataclass
 class Val:
-    """A value: 'term' (N-Triples), 'bool', 'text' (a string without language) or 'num' (a double, with the rank of its datatype)."""
+    """A value: 'term' (N-Triples), 'bool', 'text' (a string without language) or 'num' (a double, with the rank of its
+    datatype and, where all that it comes from are integers or decimals, its exact value)."""
 
     kind: str
     col: Column
     rank: Any = None
     const: str | None = None
+    exact: Any = None
+    whole: Any = None  # a small integer as such
+    simple: bool = False  # a variable or a constant, which may be looked at often
+
+    def _of(self, f: Callable[[Column], Column]) -> Column:
+        """A function of a term, which is computed once."""
+        return f(self.col) if self.simple else T.let(self.col, f)
 
     def term(self) -> Column:
         if self.kind == "bool":
             return F.when(self.col, f'"true"^^<{XSD}boolean>').when(~self.col, f'"false"^^<{XSD}boolean>')
         if self.kind == "text":
             return T.text_literal(self.col)
-        return T.number_term(self.col, self.rank) if self.kind == "num" else self.col
+        if self.whole is not None:
+            return T.integer_literal(self.whole)
+        return T.number_term(self.col, self.rank, self.exact) if self.kind == "num" else self.col
+
+    def exactly(self) -> Column:
+        if self.whole is not None:
+            return self.whole.cast(T.EXACT)
+        if self.kind == "num" and self.exact is not None:
+            return self.exact
+        return self._of(T.exact) if self.kind == "term" else F.lit(None).cast(T.EXACT)
+
+    def small(self) -> bool:
+        """Whether it is a constant that a double holds exactly, and that no rounding of another number passes."""
+        if not self.const or not self.const.startswith('"'):
+            return False
+        text = self.const[1 : self.const.rindex('"')]
+        return text.lstrip("+-").isdigit() and abs(int(text)) < 1 << 53
 
     def number(self) -> Column:
         if self.kind == "num":
             return self.col
-        return T.number(self.col) if self.kind == "term" else F.lit(None).cast("double")
+        return self._of(T.number) if self.kind == "term" else F.lit(None).cast("double")
 
     def number_rank(self) -> Column:
-        return self.rank if self.kind == "num" else T.number_rank(self.term())
+        if self.kind == "num":
+            return self.rank
+        return self._of(T.number_rank) if self.kind == "term" else F.lit(None).cast("int")
 
     def text(self) -> Column:
         """The text of STR."""
         if self.kind == "text":
             return self.col
-        return T.text_of(self.term())
+        if self.kind == "bool":
+            return F.when(self.col, "true").when(~self.col, "false")
+        if self.whole is not None:
+            return self.whole.cast("string")
+        if self.kind == "num":
+            exact = F.lit(None).cast(T.EXACT) if self.exact is None else self.exact
+            return T.let(F.struct(self.col.alias("v"), self.rank.alias("r"), exact.alias("e")), lambda x: T.number_text(x.v, x.r, x.e))
+        return self._of(T.text_of)
 
     def string(self) -> Column:
         """The text of a string literal, with or without language; null of others."""
         if self.kind == "text":
             return self.col
-        t = self.term()
-        return F.when(t.endswith('"') | T.suffix(t).startswith("@"), T.lexical(t))
+        if self.kind != "term":
+            return F.lit(None).cast("string")
+        return self._of(lambda t: F.when(t.endswith('"') | T.suffix(t).startswith("@"), T.lexical(t)))
 
     def bool(self) -> Column:
         if self.kind == "bool":
@@ -59,13 +93,16 @@ class Val:
             return (self.col != 0) & ~F.isnan(self.col)
         if self.kind == "text":
             return F.length(self.col) > 0
-        t = self.col
-        n = T.number(t)
-        return (
-            F.when(T.is_datatype(t, "boolean"), T.lexical(t).isin("true", "1"))
-            .when(n.isNotNull(), (n != 0) & ~F.isnan(n))
-            .when(t.endswith('"') | T.suffix(t).startswith("@"), F.length(T.lexical(t)) > 0)
-        )
+
+        def truth(t: Column) -> Column:
+            n = T.number(t)
+            return (
+                F.when(T.is_datatype(t, "boolean"), T.lexical(t).isin("true", "1"))
+                .when(n.isNotNull(), (n != 0) & ~F.isnan(n))
+                .when(t.endswith('"') | T.suffix(t).startswith("@"), F.length(T.lexical(t)) > 0)
+            )
+
+        return self._of(truth)
 
 
 def _rank(n: int) -> Column:
@@ -73,29 +110,40 @@ def _rank(n: int) -> Column:
 
 
 def _num(c: Column, rank: int = 0) -> Val:
-    return Val("num", c.cast("double"), _rank(rank))
+    return Val("num", c.cast("double"), _rank(rank), whole=c.cast("bigint") if rank == 0 else None)
 
 
 def _const(text: str) -> Val:
-    return Val("term", F.lit(text), const=text)
+    return Val("term", F.lit(text), const=text, simple=True)
 
 
 def _ordering(op: str, a: Column, b: Column) -> Column:
     return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
 
+def _numbers(op: str, a: Val, b: Val) -> Column:
+    near = _ordering(op, a.number(), b.number())
+    return near if a.small() or b.small() else F.coalesce(_ordering(op, a.exactly(), b.exactly()), near)
+
+
 def _compare(op: str, a: Val, b: Val) -> Column:
     if a.kind == "num" or b.kind == "num":
-        return _ordering(op, a.number(), b.number())
+        return _numbers(op, a, b)
     if a.kind == b.kind and a.kind in ("bool", "text"):
         return _ordering(op, a.col, b.col)
     equality = op in ("=", "!=")
+    if not (a.kind == "term" and a.simple and b.kind == "term" and b.simple):  # what is computed is computed once
+        a, b = (x if x.const else Val("term", x.term()) for x in (a, b))
+        if equality and any(x.const and x.const[0] in "<_" for x in (a, b)):
+            return _ordering(op, a.col, b.col)
+        known = lambda x, c: x if x.const else Val("term", c, simple=True)
+        return T.let(F.struct(a.col.alias("a"), b.col.alias("b")), lambda x: _compare(op, known(a, x.a), known(b, x.b)))
     for x, y in ((a, b), (b, a)):
         if x.const and x.const[0] in "<_" and equality:  # stays an equality of columns
             return _ordering(op, y.term(), x.term())
     s, t = a.term(), b.term()
     kind = _kind_of(a) or _kind_of(b)
-    number = _ordering(op, a.number(), b.number())
+    number = _numbers(op, a, b)
     date = _ordering(op, T.date_key(s), T.date_key(t))
     text = _ordering(op, T.lexical(s), T.lexical(t))
     both_text, both_bool = T.is_text(s) & T.is_text(t), T.is_datatype(s, "boolean") & T.is_datatype(t, "boolean")
@@ -130,15 +178,28 @@ def _arithmetic(op: str, a: Val, b: Val) -> Val:
     rank = F.greatest(a.number_rank(), b.number_rank())
     if op == "/":
         return Val("num", F.when((y == 0) & (rank < 2), None).otherwise(F.try_divide(x, y)), F.greatest(rank, _rank(1)))
-    return Val("num", x + y if op == "+" else x - y if op == "-" else x * y, rank)
+    m, n = a.exactly(), b.exactly()
+    if op == "*":
+        exact = T.let(F.struct(m.alias("m"), n.alias("n")), lambda v: _product(v.m, v.n))
+    else:
+        exact = (m + n if op == "+" else m - n).try_cast(T.EXACT)
+    return Val("num", x + y if op == "+" else x - y if op == "-" else x * y, rank, exact=exact)
+
+
+def _product(m: Column, n: Column) -> Column:
+    """Of whole numbers, or of such of up to 10 digits before and 9 after the point; null of others."""
+    short, brief = m.try_cast("decimal(19,9)"), n.try_cast("decimal(19,9)")
+    whole, full = m.try_cast("decimal(20,0)"), n.try_cast("decimal(20,0)")
+    return F.when((whole == m) & (full == n), F.try_multiply(whole, full).try_cast(T.EXACT)).when((short == m) & (brief == n), F.try_multiply(short, brief).try_cast(T.EXACT))
 
 
 def _like_first(first: Val, made: Column) -> Val:
     """A string of the language that the first argument has."""
     if first.kind == "text" or (first.const and first.const.endswith('"')):
         return Val("text", made)
-    t = first.term()
-    return Val("term", F.concat(F.lit('"'), T.escape_column(made), F.lit('"'), T.suffix(t)))
+    if first.kind != "term":
+        return Val("term", F.lit(None).cast("string"))
+    return Val("term", F.concat(F.lit('"'), T.escape_column(made), F.lit('"'), first._of(T.suffix)))
 
 
 def _pattern(pattern: Val, flags: Val | None) -> Column:
@@ -158,6 +219,7 @@ def _cast(name: str, a: Val) -> Val:
     text = F.trim(a.text())
     from_bool = F.when(T.is_datatype(a.term(), "boolean"), T.lexical(a.term()).isin("true", "1").cast("double"))
     number = F.coalesce(a.number(), from_bool, F.when(T.is_text(a.term()), text.try_cast("double")))
+    exact = F.coalesce(a.exactly(), F.when(T.is_text(a.term()) & text.rlike(r"^[+-]?\d*\.?\d{0,18}$"), text.try_cast(T.EXACT)))
     if name == "string":
         return Val("text", a.text())
     if name == "boolean":
@@ -168,8 +230,9 @@ def _cast(name: str, a: Val) -> Val:
     if name in ("integer", "int", "long"):
         whole = F.when(F.isnan(number) | (F.abs(number) > 9e18), None).otherwise(number)
         ok = T.is_text(a.term()) & ~text.rlike(r"^[+-]?\d+$")
-        return Val("num", F.when(ok, None).otherwise(F.when(whole < 0, F.ceil(whole)).otherwise(F.floor(whole))).cast("double"), _rank(0))
-    return Val("num", number, _rank({"decimal": 1, "float": 2, "double": 3}[name]))
+        part = F.when(exact < 0, F.ceil(exact)).otherwise(F.floor(exact)).try_cast(T.EXACT)
+        return Val("num", F.when(ok, None).otherwise(F.when(whole < 0, F.ceil(whole)).otherwise(F.floor(whole))).cast("double"), _rank(0), exact=F.when(~F.coalesce(ok, F.lit(False)), part))
+    return Val("num", number, _rank({"decimal": 1, "float": 2, "double": 3}[name]), exact=exact if name == "decimal" else None)
 
 
 class Expressions:
@@ -181,7 +244,7 @@ class Expressions:
     def __call__(self, e: Any) -> Val:
         if isinstance(e, Var):
             c = self.column(e.name)
-            return Val("term", F.lit(None).cast("string") if c is None else c)
+            return Val("term", F.lit(None).cast("string") if c is None else c, simple=True)
         if isinstance(e, str):
             return _const(e)
         op, *args = e
@@ -216,7 +279,7 @@ class Expressions:
         if op in ("+", "-", "*", "/"):
             return _arithmetic(op, v[0], v[1])
         if op == "NEG":
-            return Val("num", -v[0].number(), v[0].number_rank())
+            return Val("num", -v[0].number(), v[0].number_rank(), exact=-v[0].exactly())
         if op in ("COALESCE", "IF"):
             sides = v if op == "COALESCE" else v[1:]
             kind = sides[0].kind if len({s.kind for s in sides}) == 1 else "term"
@@ -260,8 +323,9 @@ class Expressions:
         return Val("bool", F.when(y == "*", x != "").otherwise((x == y) | x.startswith(F.concat(y, F.lit("-")))))
 
     def fn_iri(self, a: Val) -> Val:
-        t = a.term()
-        return Val("term", F.when(T.is_iri(t), t).when(t.endswith('"'), F.concat(F.lit("<"), T.lexical(t), F.lit(">"))))
+        if a.kind == "text":
+            return Val("term", F.concat(F.lit("<"), a.col, F.lit(">")))
+        return Val("term", a._of(lambda t: F.when(T.is_iri(t), t).when(t.endswith('"'), F.concat(F.lit("<"), T.lexical(t), F.lit(">"))))) if a.kind == "term" else Val("term", F.lit(None).cast("string"))
 
     fn_uri = fn_iri
 
@@ -329,16 +393,16 @@ class Expressions:
     # -- numbers
 
     def fn_abs(self, a: Val) -> Val:
-        return Val("num", F.abs(a.number()), a.number_rank())
+        return Val("num", F.abs(a.number()), a.number_rank(), exact=F.abs(a.exactly()))
 
     def fn_round(self, a: Val) -> Val:
-        return Val("num", F.floor(a.number() + 0.5).cast("double"), a.number_rank())
+        return Val("num", F.floor(a.number() + 0.5).cast("double"), a.number_rank(), exact=F.floor(a.exactly() + F.lit("0.5").cast("decimal(2,1)")).try_cast(T.EXACT))
 
     def fn_ceil(self, a: Val) -> Val:
-        return Val("num", F.ceil(a.number()).cast("double"), a.number_rank())
+        return Val("num", F.ceil(a.number()).cast("double"), a.number_rank(), exact=F.ceil(a.exactly()).try_cast(T.EXACT))
 
     def fn_floor(self, a: Val) -> Val:
-        return Val("num", F.floor(a.number()).cast("double"), a.number_rank())
+        return Val("num", F.floor(a.number()).cast("double"), a.number_rank(), exact=F.floor(a.exactly()).try_cast(T.EXACT))
 
     def fn_rand(self) -> Val:
         return Val("num", F.rand(), _rank(3))

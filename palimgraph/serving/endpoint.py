@@ -10,9 +10,11 @@ import uuid
 from collections.abc import Iterator
 from datetime import date
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from itertools import chain
 from pathlib import Path
 from urllib.parse import parse_qs, urlsplit
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 
 from ..plans.parser import SyntaxError_, UnsupportedQuery, parse
@@ -55,7 +57,8 @@ class QueryLog:
 
 def answer(store: HistoryStore, query: str, accept: str | None = None, *, log: QueryLog | None = None, timeout: float = TIMEOUT) -> tuple[int, str, Iterator[str]]:
     """(HTTP status, media type, body).  400: malformed or unsupported; 406: no
-    acceptable type.  Spark's jobs of the query are cancelled after the timeout."""
+    acceptable type; 500: Spark fails before the first row.  The status is known
+    once there is one.  Spark's jobs of the query are cancelled after the timeout."""
     try:
         form = parse(query).form
     except (SyntaxError_, UnsupportedQuery) as e:
@@ -70,21 +73,46 @@ def answer(store: HistoryStore, query: str, accept: str | None = None, *, log: Q
     if mime is None:
         return 406, "text/plain", iter([", ".join(available)])
 
+    sc, tag = store.spark.sparkContext, f"query-{uuid.uuid4().hex}"
+
     def body() -> Iterator[str]:
-        sc, tag = store.spark.sparkContext, f"query-{uuid.uuid4().hex}"
         sc.addJobTag(tag)
         timer = threading.Timer(timeout, lambda: sc.cancelJobsWithTag(tag))
         timer.daemon = True
         timer.start()
         try:
             yield from results.write(store.sparql(query), form, mime)
-        except PySparkException as e:
-            yield f"\n# error: {str(e)[:500]}\n"
         finally:
             timer.cancel()
             sc.removeJobTag(tag)
 
-    return 200, mime, body()
+    pieces, held = body(), []
+    try:
+        for piece in pieces:  # what comes before the first row, and it
+            held.append(piece)
+            if len(held) == 2:
+                break
+    except (UnsupportedQuery, ValueError) as e:
+        return 400, "text/plain", iter([str(e)])
+    except (PySparkException, Py4JError) as e:
+        return 500, "text/plain", iter([str(e)[:500]])
+    return 200, mime, chain(held, pieces)
+
+
+def describe(store: HistoryStore, accept: str | None) -> tuple[int, str, Iterator[str]]:
+    """The service description, in a negotiated form."""
+    try:
+        mime = negotiate(accept, results.GRAPH)
+    except ValueError as e:
+        return 400, "text/plain", iter([str(e)])
+    if mime is None:
+        return 406, "text/plain", iter([", ".join(results.GRAPH)])
+    return 200, mime, results.WRITERS[mime](store.spark.createDataFrame(results.service_description(), "s string, p string, o string"))
+
+
+_PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>History of a graph</title></head><body><h1>SPARQL</h1>
+<form action="sparql"><textarea name="query" rows="12" cols="100" aria-label="query">SELECT ?r ?t { ?r schema:about ?t } LIMIT 10</textarea><br><button>Run</button></form>
+<p><a href="sparql">Service description</a>, <a href="prefixes">prefixes</a></p></body></html>"""
 
 
 def serve(store: HistoryStore, host: str = "127.0.0.1", port: int = 7878, log: QueryLog | None = None) -> ThreadingHTTPServer:
@@ -95,8 +123,12 @@ def serve(store: HistoryStore, host: str = "127.0.0.1", port: int = 7878, log: Q
             self.send_response(status)
             self.send_header("Content-Type", mime)
             self.end_headers()
-            for piece in body:
-                self.wfile.write(piece.encode())
+            try:
+                for piece in body:
+                    self.wfile.write(piece.encode())
+            except (PySparkException, Py4JError) as e:  # after the first row: the connection ends before the document does
+                self.log_error("%s", e)
+                self.close_connection = True
 
         def _query(self, text: str) -> None:
             self._send(*answer(store, text, self.headers.get("Accept"), log=log))
@@ -110,7 +142,9 @@ def serve(store: HistoryStore, host: str = "127.0.0.1", port: int = 7878, log: Q
                 if asked:
                     self._query(asked[0])
                 else:
-                    self._send(200, "application/n-triples", (f"{' '.join(t)} .\n" for t in results.service_description()))
+                    self._send(*describe(store, self.headers.get("Accept")))
+            elif at.path == "/":
+                self._send(200, "text/html; charset=utf-8", iter([_PAGE]))
             else:
                 self._send(404, "text/plain", iter(["not found"]))
 

@@ -15,31 +15,49 @@ from .plans.parser import UnsupportedQuery, parse
 from .vocabulary import REVISIONS, TRIPLES
 
 
+#: Sorted copies of the triples, by folder.
+ORDERS = {"triples": ["p", "s", "o", "rev_start"], "by_subject": ["s", "p", "o", "rev_start"], "by_object": ["o", "p", "s", "rev_start"], "by_start": ["rev_start", "p", "s", "o"], "by_end": ["rev_end", "p", "s", "o"]}
+#: Columns of revisions that are looked up but not sorted by.
+LOOKED_UP = ("topic", "contributor", "parent_id", "ts_sec")
+
+
 class HistoryStore:
     """Triples with the intervals in which they hold, and revisions.
 
     triples: (s, p, o, rev_start, rev_end), terms in canonical form;
     revisions: (revision_id, parent_id, topic, ts_sec, contributor, comment).
-    services: stores that SERVICE may name, by term."""
+    services: stores that SERVICE may name, by term; orders: sorted copies of
+    the triples, by their names in ORDERS."""
 
-    def __init__(self, spark: SparkSession, triples: DataFrame | None = None, revisions: DataFrame | None = None, services: dict[str, HistoryStore] | None = None):
+    def __init__(self, spark: SparkSession, triples: DataFrame | None = None, revisions: DataFrame | None = None, services: dict[str, HistoryStore] | None = None, orders: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.triples = triples if triples is not None else spark.createDataFrame([], TRIPLES)
         self.revisions = revisions if revisions is not None else spark.createDataFrame([], REVISIONS)
         self.services = services or {}
+        self.tables = scan.Tables(self.triples, **(orders or {}))
         self._bits: int | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options: Any) -> HistoryStore:
-        return cls(spark, spark.read.parquet(f"{path}/triples"), spark.read.parquet(f"{path}/revisions"), **options)
-
-    def save(self, path: str, partitions: int | None = None) -> None:
-        """Sorted by predicate, subject and object in ranges, so that row-group statistics prune scans by any prefix of them."""
-        keys = ["p", "s", "o"]
-        ranged = self.triples.repartitionByRange(*([partitions] if partitions else []), *keys)
-        ranged.sortWithinPartitions(*keys, "rev_start").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/triples")
-        ids = self.revisions.repartitionByRange(*([partitions] if partitions else []), "revision_id")
-        ids.sortWithinPartitions("revision_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/revisions")
+        """A saved store; the copies that were saved with it are used."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = {f.getPath().getName() for f in files.listStatus(at)}
+        orders = {n: spark.read.parquet(f"{path}/{n}") for n in ORDERS if n != "triples" and n in there}
+        return cls(spark, spark.read.parquet(f"{path}/triples"), spark.read.parquet(f"{path}/revisions"), orders=orders, **options)
+
+    def save(self, path: str, partitions: int | None = None, orders: tuple[str, ...] = tuple(ORDERS)) -> None:
+        """Copies sorted in ranges, so that row-group statistics prune a scan by any prefix of an order.
+        Revisions are sorted by number, which follows the time; Bloom filters tell where the values of other columns aren't."""
+        many = [partitions] if partitions else []
+        for name in dict.fromkeys(("triples", *orders)):
+            keys = ORDERS[name]
+            ranged = self.triples.repartitionByRange(*many, *keys[:3])
+            ranged.sortWithinPartitions(*keys).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+        ids = self.revisions.repartitionByRange(*many, "revision_id").sortWithinPartitions("revision_id").write.mode("overwrite").option("compression", "zstd")
+        for c in LOOKED_UP:
+            ids = ids.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        ids.parquet(f"{path}/revisions")
 
     def revision_bits(self) -> int:
         """Binary digits of the last revision number, for temporal joins."""
@@ -51,7 +69,7 @@ class HistoryStore:
     # -- patterns
 
     def quads(self, s: str | None = None, p: str | None = None, o: str | None = None, contexts: tuple[str, ...] = ()) -> DataFrame:
-        return scan.quads(self.triples, self.revisions, s, p, o, contexts)
+        return scan.quads(self.tables, self.revisions, s, p, o, contexts)
 
     def has_statement(self, s: str | None = None, p: str | None = None, o: str | None = None, contexts: tuple[str, ...] = ()) -> bool:
         return not self.quads(s, p, o, contexts).isEmpty()
@@ -60,10 +78,10 @@ class HistoryStore:
         return scan.state_at(self.triples, revision)
 
     def additions(self, revision: int) -> DataFrame:
-        return scan.additions_at(self.triples, revision)
+        return scan.additions_at(self.tables.of(kind="A"), revision)
 
     def deletions(self, revision: int) -> DataFrame:
-        return scan.deletions_at(self.triples, revision)
+        return scan.deletions_at(self.tables.of(kind="D"), revision)
 
     # -- queries
 
