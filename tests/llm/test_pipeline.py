@@ -1,26 +1,61 @@
 """run() against a plain version of each stage."""
 
+import itertools
+import math
+import re
+from collections import Counter, defaultdict
+
 import fixtures as fx
 import numpy as np
 
 import corpus_pipeline
-from palimgraph.llm import languages, mixing, near_dups, toxicity
+from palimgraph.llm import languages, near_dups, packing, toxicity
 from palimgraph.llm.common import read
 from palimgraph.llm.neargroups import matches, similarity
 
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def plain_score(model, text):
+    """The classifier's score from its weights, word by word."""
+    counts = Counter()
+    for w in LETTERS.findall((text or "").lower()):
+        for name in ["=" + w, *("^" + w[:n] for n in toxicity.PREFIXES if len(w) >= n)]:
+            counts[name] += 1
+    z = model.bias + sum(weight for name, steps in zip(model.names, model.steps) for level, weight in steps if counts[name] >= level)
+    return 1 / (1 + math.exp(-z))
+
+
+def plain_language(model, text):
+    """Of all sets of languages the one of most penalised likelihood, by plain EM; the largest share's language, None without words."""
+    bag = Counter(LETTERS.findall((text or "").lower()))
+    if not bag:
+        return None
+    p, times = model.words(list(bag)).T.astype(float), np.array(list(bag.values()), float)
+    best = None
+    for k in (1, 2, 3):  # none of these documents has more
+        for chosen in itertools.combinations(range(len(p)), k):
+            q, share = np.maximum(p[list(chosen)], 1e-38), np.full(k, 1 / k)
+            for _ in range(60 if k > 1 else 0):
+                post = share[:, None] * q
+                share = (post / post.sum(axis=0) * times).sum(axis=1) / times.sum()
+            value = (times * np.log(share @ q)).sum() - k * languages.PENALTY / 2 * math.log(times.sum() + 1)
+            if best is None or value > best[0]:
+                best = value, chosen[int(share.argmax())]
+    return [*model.languages, languages.UNKNOWN][best[1]]
+
 
 def test_pipeline_equals_plain_stages(spark):
     docs = read(spark, fx.SF, "documents")
     rows = {r.doc_id: r for r in docs.collect()}
     # toxicity: each text by itself
     model = toxicity.fit(docs, read(spark, fx.SF, "labels"))
-    kept = {i: r for i, r in rows.items() if model is None or model.score(r.text) < toxicity.THRESHOLD}
+    kept = {i: r for i, r in rows.items() if model is None or plain_score(model, r.text) < toxicity.THRESHOLD}
     as_df = lambda k: docs.where(docs.doc_id.isin(list(k)))
     # languages: each text by itself, with the model of what the first stage kept
     langs = languages.fit(as_df(kept))
     for i in list(kept):
-        shares, sizes = languages._over(langs, languages.PENALTY)([kept[i].text])
-        if not sizes[0] or shares[0].argmax() == langs.n:
+        if plain_language(langs, kept[i].text) in (None, languages.UNKNOWN):
             del kept[i]
     # near duplicates: all pairs of signatures
     sigs = {r.id: np.frombuffer(r.sig, np.uint64) for r in near_dups.signatures(as_df(kept)).collect() if r.sig}
@@ -33,12 +68,26 @@ def test_pipeline_equals_plain_stages(spark):
     for i, root in fx.united(pairs).items():
         if i != root:
             kept.pop(i)
-    # mixing: seats one by one are tested elsewhere
-    mixed = mixing.mix(as_df(kept)).collect()
-    want = {r.doc_id: len(r.text.split()) for r in mixed if r.text.split()}
-    got: dict[int, int] = {}
+    # mixing: with all tokens dealt, each source that has tokens keeps all its documents
+    tokens = {i: len(r.text.split()) for i, r in kept.items()}
+    assert all(sum(tokens[i] for i, x in kept.items() if x.source == r.source) for r in kept.values())
+    # packing: full sequences, and remainders as planned from their counts
+    rest = Counter(n % packing.CAPACITY for n in tokens.values() if n % packing.CAPACITY)
+    want = Counter()
+    for lengths, times in packing.plan(dict(rest), packing.CAPACITY):
+        want[tuple(sorted(lengths))] += times
+    want[(packing.CAPACITY,)] += sum(n // packing.CAPACITY for n in tokens.values())
+    got, pieces = Counter(), defaultdict(list)
     for r in corpus_pipeline.run(spark, fx.SF).collect():
-        assert r.n_tokens == sum(p.n_tokens for p in r.pieces) and r.n_tokens + r.gap == 2048
+        assert r.n_tokens == sum(p.n_tokens for p in r.pieces) and r.n_tokens + r.gap == packing.CAPACITY
+        got[tuple(sorted(p.n_tokens for p in r.pieces))] += 1
         for p in r.pieces:
-            got[p.doc_id] = got.get(p.doc_id, 0) + p.n_tokens
-    assert got == want
+            pieces[p.doc_id].append((p.start, p.n_tokens))
+    assert got == +want
+    assert set(pieces) == {i for i, n in tokens.items() if n}
+    for i, ps in pieces.items():
+        at = 0
+        for start, n in sorted(ps):
+            assert start == at
+            at += n
+        assert at == tokens[i]
