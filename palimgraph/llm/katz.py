@@ -30,7 +30,6 @@ has no scores; other columns are not looked at.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,6 +41,7 @@ from pyspark.sql import functions as F
 
 from . import textvec
 from .common import pick, table
+from .packed import pack, steps, unpack
 
 CUT, BITS = 5, 31
 TOKENS, BEGIN, END = 1 << BITS, 0, 1
@@ -97,31 +97,6 @@ def _tally(values: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return values[starts], np.add.reduceat(times, starts) if len(starts) else times
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Whole numbers from 0 on (or the bits of floats), each array in as many bytes as its largest needs, like bytes together."""
-    out = []
-    for a in arrays:
-        a = np.ascontiguousarray(a.view(np.uint64) if a.dtype.kind == "f" else a.astype(np.uint64))
-        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-        out += [struct.pack("<QB", len(a), width), a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
-    return b"".join(out)
-
-
-def _unpack(raw: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(raw):
-        n, width = struct.unpack_from("<QB", raw, at)
-        a = np.zeros((n, 8), np.uint8)
-        a[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 9).reshape(width, n).T
-        out.append(a.reshape(-1).view(np.int64))
-        at += 9 + n * width
-    return out
-
-
-def _steps(a: np.ndarray) -> np.ndarray:
-    return np.diff(a, prepend=np.int64(0))
-
-
 def _batches(given: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """Rows, some BATCH characters at a time (a longer text is a batch's last)."""
     ids, texts, held = [], [], 0
@@ -249,29 +224,29 @@ def fit(docs: DataFrame, *, part_tokens: int = PART) -> Model:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _batches(batches):
             code, n = np.unique(bigrams(texts)[0], return_counts=True)
-            yield from _rows((p, 0, 0, _pack(_steps(code[by[at]]), n[by[at]])) for p, at, by in _dealt(code, parts, sent.value))
+            yield from _rows((p, 0, 0, pack(steps(code[by[at]]), n[by[at]])) for p, at, by in _dealt(code, parts, sent.value))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows, part = 0, 0
         for batch in batches:
             for part, raw in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
-                steps, n = _unpack(raw)
-                held.append((np.cumsum(steps), n))
+                step, n = unpack(raw)
+                held.append((np.cumsum(step), n))
                 rows += len(n)
                 if rows > 4 * part_tokens:
                     held = [_tally(*(np.concatenate(x) for x in zip(*held)))]
                     rows = len(held[0][0])
         if held:
             code, n = _tally(*(np.concatenate(x) for x in zip(*held)))
-            yield from _rows([(part, 0, 0, _pack(_steps(code), n))])
+            yield from _rows([(part, 0, 0, pack(steps(code), n))])
 
     counts = table(given.mapInArrow(encode, _ROW).repartitionById(parts, F.col("part")).mapInArrow(merge, _ROW))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("blob").to_pylist():
-                n = np.bincount(np.minimum(_unpack(raw)[1], CUT + 2), minlength=CUT + 3)
+                n = np.bincount(np.minimum(unpack(raw)[1], CUT + 2), minlength=CUT + 3)
                 yield pa.RecordBatch.from_pydict({"r": pa.array(range(CUT + 3), pa.int64()), "times": pa.array(n, pa.int64())})
 
     factors = discounts({r["r"]: r["times"] for r in counts.mapInArrow(frequencies, "r bigint, times bigint").groupBy("r").agg(F.sum("times").alias("times")).collect()})
@@ -279,7 +254,7 @@ def fit(docs: DataFrame, *, part_tokens: int = PART) -> Model:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
-                token = np.unique(np.cumsum(_unpack(raw)[0]) & _LOW)
+                token = np.unique(np.cumsum(unpack(raw)[0]) & _LOW)
                 yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(token), part), pa.int32()), "token": pa.array(token)})
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +271,8 @@ def fit(docs: DataFrame, *, part_tokens: int = PART) -> Model:
         token, times = np.concatenate(keys), np.concatenate(values)
         by = np.argsort(token)
         token, below = token[by], np.exp(unigrams.log_probability(times[by].astype(np.int64)))
-        steps, n = _unpack(blob)
-        code = np.cumsum(steps)
+        step, n = unpack(blob)
+        code = np.cumsum(step)
         below = below[np.searchsorted(token, code & _LOW)]
         context = code >> np.int64(BITS)
         starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
@@ -307,8 +282,8 @@ def fit(docs: DataFrame, *, part_tokens: int = PART) -> Model:
         apart = np.isin(context, sent.value["context"])
         own = ~apart
         scale, weight = _weights(total[own].astype(float), kept[own], covered[own], least[own])
-        yield from _rows([(part, 0, 0, _pack(_steps(context[own]), scale, weight))])
-        yield from _rows((part, 1, int(c), _pack(np.array([t, m], np.int64), np.array([k, x]))) for c, t, m, k, x in zip(context[apart], total[apart], least[apart], kept[apart], covered[apart]))
+        yield from _rows([(part, 0, 0, pack(steps(context[own]), scale, weight))])
+        yield from _rows((part, 1, int(c), pack(np.array([t, m], np.int64), np.array([k, x]))) for c, t, m, k, x in zip(context[apart], total[apart], least[apart], kept[apart], covered[apart]))
 
     wanted = counts.mapInArrow(asked, "part int, token bigint").join(known, "token")
     both = counts.select("part", "kind", "batch", "blob", F.lit(0).cast("bigint").alias("n")).unionByName(wanted.select("part", F.lit(1).alias("kind"), F.col("token").alias("batch"), F.lit(None).cast("binary").alias("blob"), "n"))
@@ -316,7 +291,7 @@ def fit(docs: DataFrame, *, part_tokens: int = PART) -> Model:
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*ints, *floats.view(np.float64)) for ints, floats in map(_unpack, batch.column("blob").to_pylist())]
+            rows = [(*ints, *floats.view(np.float64)) for ints, floats in map(unpack, batch.column("blob").to_pylist())]
             names = ("total", "least", "kept", "covered")
             yield pa.RecordBatch.from_pydict({"context": batch.column("batch"), **{c: pa.array([float(r[j]) for r in rows]) for j, c in enumerate(names)}})
 
@@ -353,10 +328,10 @@ class Part:
     """Bigrams and contexts of a part, in memory."""
 
     def __init__(self, counts: bytes | None, contexts: bytes | None, factors: list[float], hot: dict[str, np.ndarray]):
-        steps, self.n = _unpack(counts) if counts else (np.zeros(0, np.int64),) * 2
-        self.code = np.cumsum(steps)
-        steps, scale, weight = _unpack(contexts) if contexts else (np.zeros(0, np.int64),) * 3
-        context = np.r_[np.cumsum(steps), hot["context"]]
+        step, self.n = unpack(counts) if counts else (np.zeros(0, np.int64),) * 2
+        self.code = np.cumsum(step)
+        step, scale, weight = unpack(contexts) if contexts else (np.zeros(0, np.int64),) * 3
+        context = np.r_[np.cumsum(step), hot["context"]]
         by = np.argsort(context)
         self.context = context[by]
         self.scale, self.weight = np.r_[scale.view(np.float64), hot["scale"]][by], np.r_[weight.view(np.float64), hot["weight"]][by]
@@ -402,10 +377,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             def one(at: slice, by: np.ndarray) -> bytes:
                 c = code[by[at]]
                 first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                return _pack(_steps(c[first]), np.diff(np.r_[first, len(c)]), doc[by[at]], times[by[at]])
+                return pack(steps(c[first]), np.diff(np.r_[first, len(c)]), doc[by[at]], times[by[at]])
 
             null = np.array(ids.is_null())
-            yield from _rows([(name % parts, 3, name, _pack(ids.fill_null(0).to_numpy().view(np.uint64), null, sizes))])
+            yield from _rows([(name % parts, 3, name, pack(ids.fill_null(0).to_numpy().view(np.uint64), null, sizes))])
             yield from _rows((p, 2, name, one(at, by)) for p, at, by in dealt)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,11 +396,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     yield _sums(name, 3, raw)
                     continue
                 part = part or Part(*blobs, factors, sent.value)
-                steps, per, doc, times = _unpack(raw)
-                code = np.cumsum(steps)
+                step, per, doc, times = unpack(raw)
+                code = np.cumsum(step)
                 found, value = part.look_up(code)
                 docs, at = np.unique(doc, return_inverse=True)
-                yield _sums(name, 2, _pack(_steps(docs), np.bincount(at, np.repeat(value, per) * times, len(docs))))
+                yield _sums(name, 2, pack(steps(docs), np.bincount(at, np.repeat(value, per) * times, len(docs))))
                 unseen = np.flatnonzero(np.repeat(~found, per))
                 for a in range(0, len(unseen), 100_000):
                     u = unseen[a : a + 100_000]
@@ -445,11 +420,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 if kind == 3:
                     if at is not None:
                         yield out()
-                    at, (ids, null, sizes) = name, _unpack(raw)
+                    at, (ids, null, sizes) = name, unpack(raw)
                     sums = np.zeros(len(sizes))
                 elif kind == 2:
-                    steps, values = _unpack(raw)
-                    sums[np.cumsum(steps)] += values.view(np.float64)
+                    step, values = unpack(raw)
+                    sums[np.cumsum(step)] += values.view(np.float64)
                 else:
                     sums[int(doc[i])] += n[i]
         if at is not None:

@@ -11,7 +11,7 @@ import fixtures as fx
 import numpy as np
 import pytest
 
-from palimgraph.llm import fingerprints, hnsw, katz, languages, licences, mixing, near_dups, packing, queries, reply_trees, textvec, toxicity
+from palimgraph.llm import fingerprints, hnsw, katz, languages, licences, mixing, near_dups, packed, packing, queries, reply_trees, textvec, toxicity
 from palimgraph.llm.common import read
 
 
@@ -535,7 +535,7 @@ def test_op6_counts_across_words(spark):
     docs = read(spark, fx.SF, "documents")
     texts = [r.text for r in docs.collect()]
     model = katz.fit(docs)
-    got = sum(len(katz._unpack(r.blob)[1]) for r in model.counts.collect())
+    got = sum(len(packed.unpack(r.blob)[1]) for r in model.counts.collect())
     want = len({p for t in texts for p in PlainKatz.pairs(t)})
     assert 0.999 * want <= got <= want
     scored = queries.op6_lm_scoring(spark, fx.SF).collect()
