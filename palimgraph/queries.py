@@ -177,7 +177,7 @@ _sparql("magic_state_at", "orders", f"SELECT ?g {{ ?g hist:globalStateAt {_DATE}
 def _asof(h: HistoryStore) -> DataFrame:
     from .operators import magic
 
-    return magic.state_at_date(h.revisions, '"1997-07-26T13:00:00Z"^^<x>', "asof")
+    return magic.state_at_date(h.revisions, f'"1997-07-26T13:00:00Z"^^<{XSD}dateTime>', "asof")
 
 
 _frame("magic_state_asof", "orders", _asof, "SELECT max_by(revision_id, ts_sec * 1000000000 + revision_id) AS revision_id FROM rv WHERE ts_sec <= epoch_us(TIMESTAMP '1997-07-26 13:00:00') // 1000000")
