@@ -100,29 +100,34 @@ def is_literal(t: Column) -> Column:
     return t.startswith('"')
 
 
-def _close(t: Column) -> Column:
-    """Position of the closing quote."""
-    return F.length(t) - F.instr(F.reverse(t), '"') + 1
+def _after(t: Column) -> Column:
+    """What follows the closing quote; the search goes backwards, so it doesn't read the text."""
+    return F.substring_index(t, '"', -1)
 
 
 def suffix_with_quote(t: Column) -> Column:
-    return F.substr(t, _close(t))
+    return F.concat(F.lit('"'), _after(t))
 
 
 def suffix(t: Column) -> Column:
     """What follows a literal's closing quote: '', '@lang' or '^^<datatype>'."""
-    return F.when(is_literal(t), F.substr(t, _close(t) + 1))
+    return F.when(is_literal(t), _after(t))
 
 
 def lexical(t: Column) -> Column:
     """The text of a literal, unescaped."""
-    body = F.substr(t, F.lit(2), _close(t) - 2)
+    body = F.substr(t, F.lit(2), F.length(t) - F.length(_after(t)) - 2)
     plain = body
     for a, b in (("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x00", "\\")):
         plain = F.replace(plain, F.lit(a), F.lit(b))
     return F.when(is_literal(t), F.when(body.contains("\\"), plain).otherwise(body))
 
 
+def string_of(t: Column) -> Column:
+    """The text of a string literal, with or without language; null of others."""
+    return F.when(t.endswith('"') | suffix(t).startswith("@"), lexical(t))
+
+
 def text_of(t: Column) -> Column:
     """STR: the text of a literal, the address of an IRI."""
     return F.when(is_iri(t), F.substr(t, F.lit(2), F.length(t) - 2)).when(is_literal(t), lexical(t))

@@ -8,6 +8,7 @@ one."""
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import count
@@ -21,7 +22,7 @@ from ..operators import magic, scan, temporal_join
 from ..operators.closure import closure
 from ..vocabulary import MAX, SNAPSHOTS
 from .algebra import Bind, Graph, Group, Minus, Optional_, Pattern, Query, Service, Union, Values, Var, names_in
-from .expressions import Expressions, Val
+from .expressions import Expressions, Val, read_texts
 from .optimize import pick, simplify_path
 from .parser import UnsupportedQuery
 
@@ -32,6 +33,7 @@ class Rel:
     cols: dict[str, str]
     maybe: set[str] = field(default_factory=set)  # variables that may be unbound
     kinds: dict[str, set[str]] = field(default_factory=dict)  # of variables known to be revision IRIs
+    held: dict[str, str] = field(default_factory=dict)  # columns of texts that several functions read
 
     def column(self, name: str) -> Column | None:
         return F.col(self.cols[name]) if name in self.cols else None
@@ -80,6 +82,7 @@ class Compiler:
             rel, made = self.aggregate(rel, q)
             for e in q.having:
                 rel = self.filter(rel, e, made)
+        rel = self.decoded(rel, [e for _, e in q.projection if e is not None])
         for name, e in q.projection:
             if e is not None:
                 rel = self.extend(rel, e, name, made)
@@ -202,7 +205,7 @@ class Compiler:
         flush()
         rel = rel or self.unit()
         for e in g.filters:
-            rel = self.filter(rel, e)
+            rel = self.filter(self.decoded(rel, g.filters), e)
         return rel
 
     def joined(self, rel: Rel | None, items: list[Any]) -> Rel | None:
@@ -513,11 +516,20 @@ class Compiler:
 
     def extend(self, rel: Rel, e: Any, name: str, aggregates: dict | None = None) -> Rel:
         flagged, exists = self.flags(rel, e)
-        value = Expressions(rel.column, exists, aggregates)(e).term()
+        value = Expressions(rel.column, exists, aggregates, rel.held)(e).term()
         alias = self.fresh(name)
         kinds = {name: rel.kinds[e.name]} if isinstance(e, Var) and e.name in rel.kinds else {}
         maybe = set() if isinstance(e, str) or (isinstance(e, Var) and e.name in rel.cols and e.name not in rel.maybe) or (isinstance(e, tuple) and e[0] in ("BOUND", "EXISTS")) else {name}
-        return Rel(flagged.withColumn(alias, value), rel.cols | {name: alias}, rel.maybe | maybe, rel.kinds | kinds)
+        return Rel(flagged.withColumn(alias, value), rel.cols | {name: alias}, rel.maybe | maybe, rel.kinds | kinds, rel.held)
+
+    def decoded(self, rel: Rel, expressions: list[Any]) -> Rel:
+        """A text that is read several times is decoded once, in a column of its own."""
+        times = sum(map(read_texts, expressions), Counter())
+        df, held = rel.df, dict(rel.held)
+        for name in sorted(n for n, k in times.items() if k > 1 and n in rel.cols and n not in held):
+            held[name] = self.fresh("text")
+            df = df.withColumn(held[name], T.string_of(F.col(rel.cols[name])))
+        return Rel(df, rel.cols, rel.maybe, rel.kinds, held)
 
     def _exists(self, e: Any):
         if isinstance(e, tuple):
@@ -551,10 +563,11 @@ class Compiler:
             return self.semi(rel, e[1], "left_semi")
         if isinstance(e, tuple) and e[0] == "!" and isinstance(e[1], tuple) and e[1][0] == "EXISTS":
             return self.semi(rel, e[1][1], "left_anti")
+        rel = self.decoded(rel, [e])
         flagged, exists = self.flags(rel, e)
-        kept = flagged.where(F.coalesce(Expressions(rel.column, exists, aggregates)(e).bool(), F.lit(False)))
+        kept = flagged.where(F.coalesce(Expressions(rel.column, exists, aggregates, rel.held)(e).bool(), F.lit(False)))
         bound = {e[1].name} if isinstance(e, tuple) and e[0] == "BOUND" else set()
-        return Rel(kept, rel.cols, rel.maybe - bound, rel.kinds)
+        return Rel(kept, rel.cols, rel.maybe - bound, rel.kinds, rel.held)
 
     def semi(self, rel: Rel, group: Group, how: str) -> Rel:
         outside = self._filter_names(group) - self._bound_names(group)

@@ -3,6 +3,7 @@ logic is three-valued either way."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
@@ -27,6 +28,7 @@ class Val:
     exact: Any = None
     whole: Any = None  # a small integer as such
     simple: bool = False  # a variable or a constant, which may be looked at often
+    held: Any = None  # string() where that is a column already
 
     def _of(self, f: Callable[[Column], Column]) -> Column:
         """A function of a term, which is computed once."""
@@ -76,7 +78,7 @@ class Val:
         if self.kind == "num":
             exact = F.lit(None).cast(T.EXACT) if self.exact is None else self.exact
             return T.let(F.struct(self.col.alias("v"), self.rank.alias("r"), exact.alias("e")), lambda x: T.number_text(x.v, x.r, x.e))
-        return self._of(T.text_of)
+        return self._of(T.text_of) if self.held is None else F.coalesce(self.held, T.text_of(self.col))
 
     def string(self) -> Column:
         """The text of a string literal, with or without language; null of others."""
@@ -84,7 +86,7 @@ class Val:
             return self.col
         if self.kind != "term":
             return F.lit(None).cast("string")
-        return self._of(lambda t: F.when(t.endswith('"') | T.suffix(t).startswith("@"), T.lexical(t)))
+        return self._of(T.string_of) if self.held is None else self.held
 
     def bool(self) -> Column:
         if self.kind == "bool":
@@ -235,16 +237,29 @@ def _cast(name: str, a: Val) -> Val:
     return Val("num", number, _rank({"decimal": 1, "float": 2, "double": 3}[name]), exact=exact if name == "decimal" else None)
 
 
+_OF_TEXTS = set("STRLEN SUBSTR UCASE LCASE STRSTARTS STRENDS CONTAINS STRBEFORE STRAFTER ENCODE_FOR_URI CONCAT REPLACE REGEX MD5 SHA1 SHA256 SHA384 SHA512 LANGMATCHES STR".split())
+
+
+def read_texts(e: Any) -> Counter:
+    """How often an expression reads the text of each variable."""
+    if not isinstance(e, tuple) or not e or e[0] == "EXISTS":
+        return Counter()
+    out = Counter(x.name for x in e[1:] if isinstance(x, Var)) if e[0] in _OF_TEXTS else Counter()
+    for x in e[1:]:
+        out += read_texts(x)
+    return out
+
+
 class Expressions:
-    """Compiles expressions over the columns of variables."""
+    """Compiles expressions over the columns of variables; held: columns of texts that are decoded already."""
 
-    def __init__(self, column: Callable[[str], Column | None], exists: Callable[[Any], Column] | None = None, aggregates: dict | None = None):
-        self.column, self.exists, self.aggregates = column, exists, aggregates or {}
+    def __init__(self, column: Callable[[str], Column | None], exists: Callable[[Any], Column] | None = None, aggregates: dict | None = None, held: dict[str, str] | None = None):
+        self.column, self.exists, self.aggregates, self.held = column, exists, aggregates or {}, held or {}
 
     def __call__(self, e: Any) -> Val:
         if isinstance(e, Var):
             c = self.column(e.name)
-            return Val("term", F.lit(None).cast("string") if c is None else c, simple=True)
+            return Val("term", F.lit(None).cast("string") if c is None else c, simple=True, held=F.col(self.held[e.name]) if e.name in self.held else None)
         if isinstance(e, str):
             return _const(e)
         op, *args = e
