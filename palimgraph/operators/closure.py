@@ -18,6 +18,7 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     edges = cut(edges.select("x", "y").where("x is not null and y is not null").distinct())
     if starts is not None:
         return _from(edges, starts)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a union would add partitions each round
     known = power = edges  # paths of 1 to 2^k - 1 edges, and of just 2^(k - 1)
     while not power.isEmpty():
         after = power.select(F.col("x").alias("y"), F.col("y").alias("z"))
@@ -27,7 +28,7 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
         fresh = cut(more.join(known, ["x", "y"], "left_anti"))
         if fresh.isEmpty():
             break
-        known = known.unionByName(fresh)  # both are stored already
+        known = known.unionByName(fresh).coalesce(parts)  # both are stored already
     return known
 
 
