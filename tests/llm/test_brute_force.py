@@ -11,7 +11,7 @@ import fixtures as fx
 import numpy as np
 import pytest
 
-from palimgraph.llm import fingerprints, hnsw, katz, languages, licences, mixing, near_dups, packed, packing, queries, reply_trees, textvec, toxicity
+from palimgraph.llm import fingerprints, hnsw, katz, languages, licences, mixing, near_dups, packed, packing, queries, reply_trees, setjoin, textvec, toxicity
 from palimgraph.llm.common import read
 
 
@@ -725,3 +725,29 @@ def test_swapped_terms_change_the_score_little():
     gap = lambda c: abs(c.score("the muslim family went home") - c.score("the christian family went home"))
     assert gap(fair) < 0.5 * gap(plain) and gap(fair) < 0.05
     assert fair.score("the muslim family went home") < toxicity.THRESHOLD < fair.score("such vilehate scum")
+
+
+# -- 5 fingerprints: no link is left out
+
+
+def test_fingerprint_links_equal_all_pairs(spark, monkeypatch):
+    """Every text's number of links, also just at the bound, of texts of all sizes; copies and spaces don't count twice."""
+    texts = dict(enumerate(fx.pieces(12, 21, 30) + fx.pieces(12, 22, 400) + fx.pieces(4, 23, 2500)))
+    for i in list(texts):
+        for j, share in enumerate((0.1, 0.25, 0.3, 0.35, 0.4)):
+            texts[100 * (j + 1) + i] = fx.edited(texts[i], share, 10 * i + j)
+    texts |= {1000: "a b c", 1001: "a b d", 1002: "a  b c", 1003: "a b c", 1004: "a b", 1005: ""}
+    sets = {i: phrases(t) for i, t in texts.items()}
+    near = fx.similar_pairs(sets, 0.5)
+    others = defaultdict(set)
+    for a, b in near:
+        if texts[a] != texts[b]:
+            others[a].add(texts[b])
+            others[b].add(texts[a])
+    root = fx.united(near)
+    assert sum(0.5 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.6 for a, b in near) >= 10
+    for block in (setjoin.BLOCK, 500):
+        monkeypatch.setattr(setjoin, "BLOCK", block)
+        got = {r.doc_id: r for r in fingerprints.fingerprint_groups(fx.docs(spark, [(i, t, None, None, 0) for i, t in texts.items()])).collect()}
+        assert {i: r.links for i, r in got.items()} == {i: len(others[i]) for i in texts}
+        assert {i: r.group_id for i, r in got.items()} == {i: root.get(i, i) for i in texts}
