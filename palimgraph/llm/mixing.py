@@ -124,6 +124,10 @@ def assign_blocks(docs: DataFrame, weights: dict[str, float] | None = None, *, b
     weights: target share of each source; by default the square root of its tokens.
     budget: tokens to deal, in whole blocks, going on past sources that have run out; math.inf for all.
     None ends at the first missing block."""
+    return _assigned(docs, weights, block_tokens, shards, seed, budget).drop("place")
+
+
+def _assigned(docs: DataFrame, weights: dict[str, float] | None, block_tokens: int, shards: int, seed: int, budget: float | None) -> DataFrame:
     spark = docs.sparkSession
     streams = _streams(docs, seed)
     streams = streams.withColumn("bucket", F.substring("place", 1, prefix(docs.count())))
@@ -143,9 +147,11 @@ def assign_blocks(docs: DataFrame, weights: dict[str, float] | None = None, *, b
     seat = F.expr("cast((cast(a as decimal(38,0)) * block + b) % blocks as bigint)")
     placed = placed.withColumn("seat", seat).where(F.col("seat") < F.element_at("quotas", -1))
     shard = F.size(F.filter("quotas", lambda q: q <= F.col("seat"))).cast("bigint")
-    return placed.select("row", "source", "n_tokens", "block", shard.alias("shard"))
+    return placed.select("row", "source", "n_tokens", "block", shard.alias("shard"), "place")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, budget: float | None = math.inf, **options) -> DataFrame:
-    """The chosen documents, with their own columns."""
-    return assign_blocks(docs, weights, budget=budget, **options).select("row.*")
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, budget: float | None = math.inf, block_tokens: int = BLOCK_TOKENS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The chosen documents, with their own columns, in the order of the mix: shard after shard, in each the blocks of all
+    sources in a seeded order.  The order is that of the rows, and of files that are written from them."""
+    chosen = _assigned(docs, weights, block_tokens, shards, seed, budget)
+    return chosen.orderBy("shard", F.xxhash64(F.lit(seed), "source", "block"), "source", "block", "place").select("row.*")

@@ -9,7 +9,7 @@ import fixtures as fx
 import numpy as np
 
 import corpus_pipeline
-from palimgraph.llm import languages, near_dups, packing, toxicity
+from palimgraph.llm import languages, mixing, near_dups, packing, toxicity
 from palimgraph.llm.common import read
 from palimgraph.llm.neargroups import matches, similarity
 
@@ -91,3 +91,19 @@ def test_pipeline_equals_plain_stages(spark):
             assert start == at
             at += n
         assert at == tokens[i]
+
+
+def test_the_mix_decides_which_documents_share_sequences(spark, tmp_path):
+    """Rows come shard after shard, and packing follows them: of one length, earlier documents are in earlier sequences."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(1024)) for i in range(64)]
+    given = fx.docs(spark, [(i, t, "en", "ab"[i % 4 == 0], len(t)) for i, t in enumerate(texts)])
+    shard = {r.row.doc_id: r.shard for r in mixing.assign_blocks(given, budget=math.inf).collect()}
+    corpus_pipeline.mix_sources(spark, given, "").write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    order = [r.doc_id for r in mixed.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    assert sorted(order) == list(range(64)) and [shard[i] for i in order] == sorted(shard.values()) and len(set(shard.values())) > 4
+    packs = corpus_pipeline.pack(spark, mixed, "").orderBy("position").collect()
+    assert [i for p in packs for i in sorted(p.doc_ids, key=order.index)] == order
+    given.coalesce(1).write.parquet(str(tmp_path / "plain"))
+    plain = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "plain")), "").collect()
+    assert {frozenset(p.doc_ids) for p in plain} != {frozenset(p.doc_ids) for p in packs}
