@@ -30,11 +30,13 @@ has no scores; other columns are not looked at.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,9 +78,25 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(hashes <= END, hashes + 2, hashes), np.diff(np.searchsorted(starts, at))
 
 
+def _lean() -> None:
+    """A batch's arrays go back to the system when they are freed; those of a chunk's size are used again.  By default glibc
+    comes to keep all of up to 32 MB for itself."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 12 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(context << 31 | token) for each token and the end of each text with tokens; how many each text has."""
-    found, n = tokens(texts)
+    found = [_bigrams(texts[a:b]) for a, b in textvec.chunks(texts)]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _bigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    found, n = _tokens(texts)
     sizes = np.where(n > 0, n + 1, 0)
     stops = np.cumsum(sizes)[n > 0]
     word = np.full(int(sizes.sum()), END, np.int64)
@@ -97,15 +115,33 @@ def _tally(values: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return values[starts], np.add.reduceat(times, starts) if len(starts) else times
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of about so many characters."""
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = min(len(sizes), int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most)) + 1)
+        yield at, to
+        at = to
+
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values, ascending, and how often each occurs; the values are sorted in place."""
+    values.sort()
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]][: len(values)])
+    return values[starts], np.diff(np.r_[starts, len(values)])
+
+
 def _batches(given: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """Rows, some BATCH characters at a time (a longer text is a batch's last)."""
+    _lean()
     ids, texts, held = [], [], 0
     for batch in given:
-        column = batch.column("text").to_pylist()
-        for a, b in textvec.chunks(column, BATCH // 8):
+        column = batch.column("text")
+        sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+        for a, b in _runs(sizes, BATCH // 8):
             ids.append(batch.column("doc_id").slice(a, b - a))
-            texts += column[a:b]
-            held += sum(len(t or "") for t in column[a:b])
+            texts += column.slice(a, b - a).to_pylist()
+            held += int(sizes[a:b].sum())
             if held >= BATCH:
                 yield pa.concat_arrays(ids), texts
                 ids, texts, held = [], [], 0
@@ -200,8 +236,7 @@ def fit(docs: DataFrame, *, part_tokens: int = PART) -> Model:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _batches(batches):
-            code, _ = bigrams(texts)
-            token, n = np.unique(code & _LOW, return_counts=True)
+            token, n = _counted(bigrams(texts)[0] & _LOW)
             yield pa.RecordBatch.from_pydict({"token": pa.array(token, pa.int64()), "n": pa.array(n, pa.int64())})
 
     known = table(given.mapInArrow(words, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
@@ -223,10 +258,11 @@ def fit(docs: DataFrame, *, part_tokens: int = PART) -> Model:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _batches(batches):
-            code, n = np.unique(bigrams(texts)[0], return_counts=True)
+            code, n = _counted(bigrams(texts)[0])
             yield from _rows((p, 0, 0, pack(steps(code[by[at]]), n[by[at]])) for p, at, by in _dealt(code, parts, sent.value))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows, part = 0, 0
         for batch in batches:
@@ -259,6 +295,7 @@ def fit(docs: DataFrame, *, part_tokens: int = PART) -> Model:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of the part's contexts, and rows of its sums of hot contexts."""
+        _lean()
         blob, part, keys, values = None, 0, [], []
         for batch in batches:
             kind = batch.column("kind").to_numpy()
@@ -366,9 +403,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for i, (ids, texts) in enumerate(_batches(batches)):
             name = task << 32 | i  # the same if the task runs again
             code, sizes = bigrams(texts)
-            doc = np.repeat(np.arange(len(texts)), sizes)
+            doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
             by = np.argsort(code, kind="stable")
             code, doc = code[by], doc[by]  # by code, then document
+            del by
             starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])][: len(code)])
             times = np.diff(np.r_[starts, len(code)])
             code, doc = code[starts], doc[starts]
@@ -385,6 +423,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of each document's log-probabilities (kind 2), and what its unseen bigrams leave to single tokens."""
+        _lean()
         blobs: list[bytes | None] = [None, None]
         part = None
         for batch in batches:

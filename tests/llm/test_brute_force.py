@@ -751,3 +751,19 @@ def test_fingerprint_links_equal_all_pairs(spark, monkeypatch):
         got = {r.doc_id: r for r in fingerprints.fingerprint_groups(fx.docs(spark, [(i, t, None, None, 0) for i, t in texts.items()])).collect()}
         assert {i: r.links for i, r in got.items()} == {i: len(others[i]) for i in texts}
         assert {i: r.group_id for i, r in got.items()} == {i: root.get(i, i) for i in texts}
+
+
+# -- 6 language model: memory
+
+
+def test_op6_batches_hold_little_besides_their_bigrams():
+    """Bigrams of a batch of many chunks are made chunk by chunk: less than three arrays of all of them at a time."""
+    import tracemalloc
+
+    texts = fx.pieces(1, 31, 20_000) * 320
+    tracemalloc.start()
+    code, sizes = katz.bigrams(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(code) == sizes.sum() == 320 * 20_001
+    assert peak < 3 * code.nbytes + 10_000_000
