@@ -753,6 +753,38 @@ def test_fingerprint_links_equal_all_pairs(spark, monkeypatch):
         assert {i: r.group_id for i, r in got.items()} == {i: root.get(i, i) for i in texts}
 
 
+def test_many_texts_all_alike_give_few_edges(spark):
+    """200 texts, all alike, are 19,900 pairs; what goes on from the cells is a few edges a text, and yet each link is counted."""
+    text = fx.pieces(1, 41, 300)[0]
+    texts = {i: fx.edited(text, 0.03, i) for i in range(200)} | {1000 + i: t for i, t in enumerate(fx.pieces(20, 42, 300))}
+    docs = fx.docs(spark, [(i, t, None, None, 0) for i, t in texts.items()])
+    near = fx.similar_pairs({i: phrases(t) for i, t in texts.items()}, 0.5)
+    assert len(near) > 15_000
+    assert fingerprints.fingerprints(docs)[1].count() <= 20 * len(texts)
+    assert {r.doc_id: r.links for r in fingerprints.fingerprint_groups(docs).collect()} == {i: sum(i in p for p in near) for i in texts}
+
+
+def test_cells_connect_all_that_may_be_similar(monkeypatch):
+    """Every two sets of one cell whose elements are similar enough are connected, also of one element, in small steps and blocks; whole sets are compared exactly."""
+    rng = np.random.default_rng(43)
+    whole = [rng.choice(400, rng.integers(1, 40), replace=False) for _ in range(60)] + [np.array([e]) for e in range(30)] + [np.array([e, e + 1]) for e in range(30)]
+    sets = [*whole, *(np.unique(np.r_[s[rng.random(len(s)) < 0.9], rng.integers(0, 400, 2)]) for s in whole * 2)]
+    sets = [np.unique(s) * 40_503 % (1 << setjoin.ELEMENT) for s in sets]
+    nodes, counts = np.arange(len(sets)) * 7 + 5, np.array([len(s) for s in sets])
+    pairs = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i, j in itertools.combinations(range(len(sets)), 2)}
+    for least in (0.25, 0.5, 0.7):
+        near = {p for p, n in pairs.items() if n * (1 + least) >= least * (counts[p[0]] + counts[p[1]]) - 1e-9}
+        assert len(near) > 20
+        assert {(x, y) for x, ys in setjoin.similar(sets, least) for y in ys.tolist()} == near
+        for size, block in ((setjoin.PAIRS, setjoin.BLOCK), (50, 700)):
+            monkeypatch.setattr(setjoin, "PAIRS", size)
+            monkeypatch.setattr(setjoin, "BLOCK", block)
+            a, b = setjoin.near_in_cell(nodes, counts, np.concatenate(sets), least)
+            root = fx.united(set(zip(a.tolist(), b.tolist())))
+            assert all(root.get(nodes[i], nodes[i]) == root.get(nodes[j], nodes[j]) for i, j in near)
+            monkeypatch.undo()
+
+
 # -- 6 language model: memory
 
 
